@@ -45,8 +45,8 @@ MIN_GROUP = 200
 METRICS = {
     "word_len": ("both", 50, (200, 1500)),  # hundredths of a code point a word
     "symbols": ("high", 5, (0, 100)),  # thousandths of a symbol a word
-    "dup_lines": ("high", 5, (0, 100)),  # thousandths of duplicate lines a line
-    "repeats": ("high", 5, (0, 100)),  # thousandths of repeated words a word
+    "dup_lines": ("high", 5, (0, 500)),  # thousandths of duplicate lines a line
+    "repeats": ("high", 5, (0, 200)),  # thousandths of repeated words a word
 }
 
 
