@@ -324,3 +324,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_digits().alias("fingerprint"), "component_id")
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each component stays, the one of smallest doc_id; all columns stay.
+
+    Rows are told apart by their number in the stage's input table, so of repeated
+    rows one stays. Only numbers of kept rows meet the texts again, in one join."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = cut(fingerprints(numbered, carry=("_row",)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), first))
+    named = assign(distinct.select("fp", "least_id", F.col("least_id").alias("doc_id")), distinct.select("fp", "least_id"))
+    kept = distinct.join(named.select("fp", "component_id"), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min("first").alias("first"))
+    kept = cut(kept.select(F.col("first._row").alias("_row")))
+    return numbered.join(kept, "_row", "left_semi").drop("_row")
