@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, stored, table
 
 BITS = 64
 #: Members of a probe key above which the key is split.
@@ -329,9 +329,10 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one of smallest doc_id; all columns stay.
 
-    Rows are told apart by their number in the stage's input table, so of repeated
-    rows one stays. Only numbers of kept rows meet the texts again, in one join."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    Rows are told apart by a number, so of repeated rows one stays. The numbered
+    table is written first: numbers made anew could differ after an executor is
+    lost. Only numbers of kept rows meet the texts again, in one join."""
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     rows = cut(fingerprints(numbered, carry=("_row",)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), first))
