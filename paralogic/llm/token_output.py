@@ -32,9 +32,11 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
@@ -47,7 +49,7 @@ SEQUENCE = 2048
 BATCH = 64
 END = 1
 #: Distinct words whose ids a task remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -66,32 +68,69 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self._forget()
+
+    def _forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.ids = np.empty(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        number = self.number
-        if len(number) > MEMORY:
-            number.clear()
-            self.ids, self.starts = self.ids[:0], self.starts[:1]
-        new = list(set(words).difference(number))
-        if new:
-            for w in new:
-                number[w] = len(number)
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-            self.ids = np.concatenate([self.ids, *(np.array(x, np.uint32) for x in found)])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in found])])
-
-    def encode(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").split()
-        if not words:
-            return np.empty(0, np.uint32)
-        self.learn(words)
-        w = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        sizes = self.starts[w + 1] - self.starts[w]
-        before = np.cumsum(sizes) - sizes
-        return self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[w] - before, sizes)]
+        self.ids = np.empty(1 << 16, np.uint32)
+        self.starts = np.zeros(1 << 14, np.int64)
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.number) > MEMORY:
+            self._forget()
+        new = list(words.difference(self.number))
+        if not new:
+            return
+        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        n = len(self.number)
+        flat = np.fromiter(chain.from_iterable(found), np.uint32)
+        stops = self.starts[n] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        while len(self.starts) <= n + len(new):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while len(self.ids) < stops[-1]:
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.starts[n] : stops[-1]] = flat
+        self.starts[n + 1 : n + 1 + len(new)] = stops
+        self.number.update(zip(new, range(n, n + len(new))))
+
+    def encode(self, texts: list[bytes | None], end: int) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
+        split = [(t or b"").split() for t in texts]
+        self._learn(set(chain.from_iterable(split)))
+        out, look = [], self.number.__getitem__
+        for words in split:
+            w = np.fromiter(map(look, words), np.int64, len(words))
+            first = self.starts[w]
+            sizes = self.starts[w + 1] - first
+            upto = np.cumsum(sizes)
+            total = int(upto[-1]) if len(words) else 0
+            ids = np.empty(total + 1, np.uint32)
+            ids[:total] = self.ids[np.arange(total) + np.repeat(first - upto + sizes, sizes)]
+            ids[total] = end
+            out.append(ids)
+        return out
+
+
+#: Tokenizers of this Python worker, by path: tasks that follow find known words.
+_KNOWN: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    if path not in _KNOWN:
+        _KNOWN[path] = Tokens(path)
+    return _KNOWN[path]
+
+
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about ``most`` bytes of text, a row at least."""
+    at = held = 0
+    for i, size in enumerate(pc.binary_length(texts).to_pylist()):
+        held += size or 0
+        if held >= most:
+            yield at, i + 1
+            at, held = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def schema(sequence: int, kind: pa.DataType) -> pa.Schema:
@@ -201,14 +240,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, seq
         shard = TaskContext.get().partitionId()
         files, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    encode = Tokens(path)
-                    kind = pa.uint16() if max(encode.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else pa.uint32()
-                    files.create_dir(root, recursive=True)
-                    writer = ShardWriter(files, f"{root}/shard-{shard:06d}", sequence, kind)
-                writer.add(doc_id, np.append(encode.encode(text.as_py()), np.uint32(end)).astype(np.uint32))
-                docs_here += 1
+            if writer is None and batch.num_rows:
+                encode = tokens_of(path)
+                kind = pa.uint16() if max(encode.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else pa.uint32()
+                files.create_dir(root, recursive=True)
+                writer = ShardWriter(files, f"{root}/shard-{shard:06d}", sequence, kind)
+            docs_here += batch.num_rows
+            for a, b in slices(batch.column(1)):
+                for doc_id, ids in zip(batch.column(0)[a:b].to_pylist(), encode.encode(batch.column(1)[a:b].to_pylist(), end)):
+                    writer.add(doc_id, ids)
         if writer:
             writer.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([f"{folder}/shard-{shard:06d}"]), pa.array([docs_here]), pa.array([writer.total])], names=["shard", "path", "n_docs", "n_tokens"])
