@@ -230,8 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
 
 
 def scored(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``score``; with ``min_score`` only rows that reach it, without the column."""
-
+    """(doc_id, text, score) of ``docs``; with ``min_score`` the rows that reach it, with the columns of ``docs``."""
+    docs = docs.select("doc_id", text_col) if min_score is None else docs
     columns = docs.columns
     at = columns.index(text_col)
 

@@ -200,10 +200,8 @@ class ShardWriter:
 
     def close(self) -> None:
         if self.size:
-            if whole := self.size // self.sequence:
-                self._flush(whole)
-            if self.size:
-                self._flush(1, self.sequence - self.size)
+            count = -(-self.size // self.sequence)
+            self._flush(count, count * self.sequence - self.size)
         self._rows()
         for writer, out in zip((self.sequences, self.index), self.out):
             writer.close()
