@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ngrams, normalize, sentences, tokenize
+from .lineage import cut
 
 
 def first_seen_sentences(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -30,37 +29,45 @@ def diversity(docs: DataFrame, group: str) -> DataFrame:
     return base.join(wide, "grp", "left").select("grp", "n_texts", F.round(F.col("n_tokens") / F.col("n_texts"), 8).alias("avg_tokens"), ratio("1").alias("ttr"), ratio("2").alias("distinct_2"))
 
 
-def near_duplicate_ids(docs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id): documents whose token set has Jaccard >= threshold with some earlier one that is not empty.
+def similar_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, cls) of the classes of equal token sets, and pairs (cls_a, cls_b, alike) of
+    classes whose Jaccard reaches ``threshold``; a class is named by its smallest doc_id.
 
-    Equal token sets are collapsed first. The rest meet by prefix filter: sets as
-    similar share one of their rarest size - ceil(t * size) + 1 tokens; sizes
-    outside the bounds are not compared."""
-    sets = docs.select("doc_id", F.array_sort(F.array_distinct(tokenize(F.col("text")))).alias("items")).filter(F.size("items") > 0)
-    classes = sets.groupBy("items").agg(F.min("doc_id").alias("first")).withColumn("cls", F.col("first")).withColumn("size", F.size("items"))
+    Classes meet by prefix filter: sets as similar share one of their rarest
+    size - ceil(t * size) + 1 tokens. A meeting counts if sizes and the tokens left
+    after its place still allow the overlap; the first token two alike sets share
+    always does, so no pair is lost. Sets are stored once; texts are read once."""
+    sets = cut(docs.select("doc_id", F.array_sort(F.array_distinct(tokenize(F.col("text")))).alias("items")).filter(F.size("items") > 0))
+    classes = cut(sets.groupBy("items").agg(F.min("doc_id").alias("cls")).withColumn("size", F.size("items")))
     tokens = classes.select("cls", "size", F.explode("items").alias("item"))
     rarity = tokens.groupBy("item").agg(F.count("*").alias("df"))
     ranked = tokens.join(rarity, "item").groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
-    prefix = ranked.select("cls", "size", F.explode(F.slice("ranked", 1, F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)).alias("p")).select("cls", "size", "p.item")
-    a, b = prefix.toDF("cls_a", "size_a", "item"), prefix.toDF("cls_b", "size_b", "item")
-    met = a.join(b, "item").filter((F.col("cls_a") < F.col("cls_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9))
-    pairs = met.select("cls_a", "cls_b").distinct()
+    length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
+    prefix = cut(ranked.select("cls", "size", F.posexplode(F.slice("ranked", 1, length)).alias("at", "p")).select("cls", "size", (F.col("size") - F.col("at")).alias("left"), "p.item"))
+    a, b = prefix.toDF("cls_a", "size_a", "left_a", "item"), prefix.toDF("cls_b", "size_b", "left_b", "item")
+    needed = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9
+    sized = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
+    met = a.join(b, "item").filter((F.col("cls_a") < F.col("cls_b")) & sized & (F.least("left_a", "left_b") >= needed))
     left, right = classes.select(F.col("cls").alias("cls_a"), F.col("items").alias("items_a")), classes.select(F.col("cls").alias("cls_b"), F.col("items").alias("items_b"))
-    alike = pairs.join(left, "cls_a").join(right, "cls_b").filter(jaccard(F.col("items_a"), F.col("items_b")) >= threshold)
-    linked = alike.groupBy("cls_b").agg(F.min("cls_a").alias("earlier")).withColumnRenamed("cls_b", "cls")
+    scored = met.select("cls_a", "cls_b").distinct().join(left, "cls_a").join(right, "cls_b").select("cls_a", "cls_b", jaccard(F.col("items_a"), F.col("items_b")).alias("alike"))
+    return cut(sets.join(classes.select("items", "cls"), "items").select("doc_id", "cls")), cut(scored.filter(F.col("alike") >= threshold))
+
+
+def near_duplicate_ids(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id): documents whose token set has Jaccard >= threshold with some earlier one that is not empty."""
+    alike = pairs.filter(F.col("alike") >= threshold)
+    first = alike.select("cls_a", "cls_b").union(alike.select("cls_b", "cls_a")).groupBy(F.col("cls_a").alias("cls")).agg(F.min("cls_b").alias("other"))
     # a copy follows its class's first; another class counts if its first document is earlier than this one
-    after = alike.groupBy("cls_a").agg(F.min("cls_b").alias("later")).withColumnRenamed("cls_a", "cls")
-    members = sets.join(classes.select("items", "cls"), "items").select("doc_id", "cls")
-    joined = members.join(linked, "cls", "left").join(after, "cls", "left")
-    return joined.filter((F.col("doc_id") > F.col("cls")) | F.col("earlier").isNotNull() | (F.col("later") < F.col("doc_id"))).select("doc_id")
+    return members.join(first, "cls", "left").filter((F.col("doc_id") > F.col("cls")) | (F.col("other") < F.col("doc_id"))).select("doc_id")
 
 
 def near_duplicate_rate(docs: DataFrame, thresholds: tuple[float, ...] = (0.8, 0.7)) -> DataFrame:
     """(threshold, n_dup, n_docs, rate); empty documents count in the denominator."""
     total = docs.agg(F.count("*").alias("n_docs"))
+    members, pairs = similar_classes(docs, min(thresholds))
     out = None
     for t in thresholds:
-        one = near_duplicate_ids(docs, t).agg(F.count("*").alias("n_dup")).crossJoin(total).select(F.lit(t).alias("threshold"), "n_dup", "n_docs", F.round(F.col("n_dup") / F.greatest("n_docs", F.lit(1)), 8).alias("rate"))
+        one = near_duplicate_ids(members, pairs, t).agg(F.count("*").alias("n_dup")).crossJoin(total).select(F.lit(t).alias("threshold"), "n_dup", "n_docs", F.round(F.col("n_dup") / F.greatest("n_docs", F.lit(1)), 8).alias("rate"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -138,8 +145,3 @@ def bleu_clipped(pairs: DataFrame, n: int) -> DataFrame:
     side = lambda c: pairs.select("id", F.explode(ngrams(tokenize(F.col(c)), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias(c))
     both = side("cand").join(side("ref"), ["id", "g"], "left")
     return both.agg(F.sum(F.least("cand", F.coalesce("ref", F.lit(0)))).alias("matched"), F.sum("cand").alias("total"))
-
-
-def prefix_length(size: int, threshold: float) -> int:
-    """Tokens of a set's prefix in the prefix filter."""
-    return size - math.ceil(size * threshold - 1e-9) + 1

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 CONDITION, CONNECTIVES = "have-condition-91", ("and", "or")
 
 
@@ -124,23 +126,13 @@ def literal_closure(implications: DataFrame, rounds: int = 32) -> DataFrame:
     Each round joins the newest implications with all; the lineage is cut by a checkpoint."""
     minus = lambda c: F.when(F.startswith(c, F.lit("-")), F.substring(c, 2, 1_000_000)).otherwise(F.concat(F.lit("-"), c))
     known = implications.select("a", "b").unionByName(implications.select(minus(F.col("b")).alias("a"), minus(F.col("a")).alias("b"))).distinct()
-    known = _cut(known)
+    known = cut(known)
     fresh = known
     for _ in range(rounds):
         left = fresh.alias("l").join(known.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b"))
         right = known.alias("l").join(fresh.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b"))
-        fresh = _cut(left.unionByName(right).filter("a <> b").distinct().join(known, ["a", "b"], "left_anti"))
+        fresh = cut(left.unionByName(right).filter("a <> b").distinct().join(known, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
-        known = _cut(known.unionByName(fresh))
+        known = cut(known.unionByName(fresh))
     return known
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the session's folder; a temporary one only where none is set."""
-    import tempfile
-
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="closure-"))
-    return df.checkpoint()
