@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, cut, table
+from .common import WORD, attach, cut, stored, table
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -76,7 +76,7 @@ def mixed(docs: DataFrame, seed: str = SEED, carry: tuple[str, ...] = ()) -> Dat
     rows = sized(docs, seed, carry)
     place = (1 - F.exp(-F.col("key"))) * BUCKETS
     rows = rows.withColumn("b1", F.floor(place).cast("int")).withColumn("b2", F.floor((place - F.floor(place)) * BUCKETS).cast("int"))
-    rows = rows if carry else cut(rows)
+    rows = stored(rows, "sized") if carry else cut(rows)  # carried columns are written once and pruned by the sums
     goals = cut(targets(rows))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
