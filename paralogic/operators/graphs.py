@@ -120,6 +120,16 @@ def de_morgan(triples: DataFrame, positive: bool = True) -> DataFrame:
     return toggle(changed, sides) if positive else changed
 
 
+def without_roles(triples: DataFrame, *roles: str) -> DataFrame:
+    """Triples of other roles; ``:wiki`` alone removes the links to an encyclopedia."""
+    return triples.filter(~F.col("role").isin(*roles))
+
+
+def mask_links(triples: DataFrame) -> DataFrame:
+    """Every ``:wiki`` target becomes ``+``."""
+    return triples.withColumn("target", F.when(F.col("role") == ":wiki", "+").otherwise(F.col("target")))
+
+
 def literal_closure(implications: DataFrame, rounds: int = 32) -> DataFrame:
     """(a, b): closure of implications under contraposition and transitivity; a literal's negation is '-' before it.
 

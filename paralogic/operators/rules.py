@@ -19,7 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import jaccard
 from . import lexicons as lex
+from .lineage import cut
 
 EDGE = "struct<source:string,role:string,target:string>"
 MATCH = "struct<form:string,node:string,a:string,b:string,role_a:string,role_b:string,word:string>"
@@ -368,3 +370,65 @@ def pick_by_label(results: DataFrame, labels: DataFrame) -> DataFrame:
     rank = F.struct((F.col("label") != F.col("wanted")).alias("other"), "at", (-F.col("label")).alias("n"))
     joined = labels.select("graph_id", F.col("label").alias("wanted")).join(results, "graph_id")
     return joined.groupBy("graph_id", "wanted").agg(F.min_by(F.struct("label", "top", "g"), rank).alias("v")).select("graph_id", "wanted", "v.*")
+
+
+# ---------------------------------------------------------------- two graphs
+
+
+def implications(graphs: DataFrame, depth: int = 4) -> DataFrame:
+    """(graph_id, g, cons, ante, cons_words, ante_words): the first implication of each graph that has one.
+
+    Words are the concepts, without senses, within ``depth`` edges of a side."""
+    g = F.col("g")
+    frames = F.transform(F.filter(g, lambda t: (t["role"] == ":instance") & (t["target"] == "have-condition-91")), lambda t: F.struct(F.get(targets(g, t["source"], ":ARG1"), F.lit(0)).alias("cons"), F.get(targets(g, t["source"], ":ARG2"), F.lit(0)).alias("ante")))
+    edges = F.transform(F.filter(g, lambda t: t["role"] == ":condition"), lambda t: F.struct(t["source"].alias("cons"), t["target"].alias("ante")))
+    first = F.get(F.concat(F.filter(frames, lambda m: m["cons"].isNotNull() & m["ante"].isNotNull()), edges), F.lit(0))
+
+    def words(node: str) -> Column:
+        ahead = lambda seen: F.transform(F.filter(g, lambda t: F.array_contains(seen, t["source"]) & ~t["role"].isin(":instance", ":polarity")), lambda t: t["target"])
+        near = F.aggregate(F.sequence(F.lit(1), F.lit(depth)), F.array(F.col(node)), lambda seen, _: F.array_union(seen, ahead(seen)))
+        return let(near, lambda n: F.array_distinct(F.transform(F.filter(g, lambda t: (t["role"] == ":instance") & F.array_contains(n, t["source"])), lambda t: F.regexp_replace(t["target"], r"-\d+$", ""))))
+
+    found = graphs.select("graph_id", "g", first.alias("i")).filter("i is not null").select("graph_id", "g", "i.cons", "i.ante")
+    return found.withColumns({"cons_words": words("cons"), "ante_words": words("ante")})
+
+
+def chains(graphs: DataFrame, threshold: float = 0.5, depth: int = 4) -> DataFrame:
+    """(first, second, similarity, cons, ante): ordered pairs of different graphs where the consequent of the first
+    is like the antecedent of the second; ``cons`` (of the second) and ``ante`` (of the first) make the conclusion.
+
+    Word sets are collapsed to classes before they meet by prefix filter, so copies are compared once. A side
+    without words matches nothing."""
+    facts = cut(implications(graphs, depth).drop("g"))
+    side = lambda c, k: facts.select(F.array_sort(c).alias(k)).filter(F.size(k) > 0).distinct()
+    a, b = side("cons_words", "words_a"), side("ante_words", "words_b")
+    rarity = a.select(F.explode("words_a").alias("w")).unionByName(b.select(F.explode("words_b").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
+
+    def prefix(rows: DataFrame, k: str) -> DataFrame:
+        ranked = rows.select(k, F.explode(k).alias("w")).join(rarity, "w").groupBy(k).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("r"))
+        return ranked.select(k, F.explode(F.slice("r", 1, F.size(k) - F.ceil(F.size(k) * threshold - 1e-9).cast("int") + 1)).alias("p")).select(k, F.col("p.w").alias("w"))
+
+    met = prefix(a, "words_a").join(prefix(b, "words_b"), "w").select("words_a", "words_b").distinct()
+    alike = met.withColumn("similarity", jaccard(F.col("words_a"), F.col("words_b"))).filter(F.col("similarity") >= threshold)
+    left = facts.select(F.col("graph_id").alias("first"), "ante", F.array_sort("cons_words").alias("words_a"))
+    right = facts.select(F.col("graph_id").alias("second"), "cons", F.array_sort("ante_words").alias("words_b"))
+    return alike.join(left, "words_a").join(right, "words_b").filter("first <> second").select("first", "second", "similarity", "cons", "ante")
+
+
+def conclude(graphs: DataFrame, found: DataFrame) -> DataFrame:
+    """(first, second, top, g): ``consequent of the second :condition antecedent of the first`` for each chain. Variables of
+    the second graph get the prefix ``g2_``; of both graphs only what the two sides reach without :condition edges stays."""
+    g1, g2 = (graphs.select(F.col("graph_id").alias(k), F.col("g").alias(f"_{k}")) for k in ("first", "second"))
+
+    def part(g: Column, node: Column) -> Column:
+        ahead = lambda seen: F.transform(F.filter(g, lambda t: F.array_contains(seen, t["source"]) & ~t["role"].isin(":instance", ":condition")), lambda t: t["target"])
+        near = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(g), F.lit(1))), F.array(node), lambda seen, _: F.array_union(seen, ahead(seen)))
+        return let(near, lambda n: F.filter(g, lambda t: F.array_contains(n, t["source"]) & (t["role"] != ":condition")))
+
+    names = F.transform(F.filter("_second", lambda t: t["role"] == ":instance"), lambda t: t["source"])
+    named = lambda c: F.when(F.array_contains(names, c), F.concat(F.lit("g2_"), c)).otherwise(c)
+    second = F.transform(part(F.col("_second"), F.col("cons")), lambda t: edge(named(t["source"]), t["role"], named(t["target"])))
+    top = named(F.col("cons"))
+    joined = found.join(g1, "first").join(g2, "second")
+    # stored, so that a UDF that follows (the text form) gets plain columns and not these lambdas
+    return cut(joined.select("first", "second", top.alias("top"), F.concat(second, F.array(edge(top, ":condition", F.col("ante"))), part(F.col("_first"), F.col("ante"))).alias("g")))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, normalize
-from ..operators import corpus, graphs
+from ..functions import penman
+from ..operators import corpus, graphs, rules
 from ..operators import verdicts as v
 
 
@@ -275,6 +276,46 @@ with recursive i as (select n_name a, r_name b from nation join region on n_regi
 k as (select a, b from i union select '-' || b, '-' || a from i), c as (select a, b from k union select c.a, k.b from c join k on c.b = k.a where c.a <> k.b) select a, b from c""")
 
 
+# ------------------------------------------------------------------ packed graphs
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return rules.pack(_graph(spark, d))
+
+
+def _applied(rule: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: rules.unpack(rules.transform(_packed(s, d), rule)).select("graph_id", "at", "label", "source", "role", "target")
+
+
+_add("rule_matches", lambda s, d: rules.detect(_packed(s, d)).groupBy("graph_id", "rule").agg(F.count("*").alias("n")), """
+select 'g' || p_partkey graph_id, r.rule, r.n::bigint n from part, lateral (values
+  ('contraposition', 1), ('implication', case when p_size <= 25 then 1 else 2 end), ('commutative', 1), ('double_negation', 5), ('aspect_equivalence', 1),
+  ('de_morgan', case when p_size % 3 = 0 then 1 else 0 end)) r(rule, n) where r.n > 0""")
+
+_add("rule_apply_implication", _applied("implication"), f"""
+with {_GRAPH}, l as (select unnest([0, 1]) label),
+neg as (select graph_id, source from g where role = ':polarity'),
+f as (select graph_id, 0 "at", label, source, case when source = 'c' and role = ':ARG1' then ':op2' when source = 'c' and role = ':ARG2' then ':op1' else role end role,
+    case when source = 'c' and role = ':instance' then 'or' else target end target from g, l where not (label = 1 and source = 'a' and role = ':polarity')),
+o as (select graph_id from g where source = 'x' and role = ':instance' and target = 'or'),
+h as (select graph_id, 1 "at", label, source, case when source = 'x' and role = ':op1' then ':ARG2' when source = 'x' and role = ':op2' then ':ARG1' else role end role,
+    case when source = 'x' and role = ':instance' then 'have-condition-91' else target end target from g semi join o using (graph_id), l)
+select * from f union all select * from h
+union all select graph_id, 1, 1, 'p', ':polarity', '-' from o
+union all select distinct graph_id, 0, 1, 'a', ':polarity', '-' from g where graph_id not in (select graph_id from neg where source = 'a')""")
+
+_add("rule_apply_double_negation", _applied("double_negation"), f"""
+with {_GRAPH}, l as (select unnest([0, 1]) label),
+n as (select graph_id, source node, row_number() over (partition by graph_id order by pos) - 1 "at" from g where role = ':instance'),
+neg as (select graph_id, source node from g where role = ':polarity')
+select graph_id, "at", label, source, role, target from g join n using (graph_id), l where not (label = 1 and source = node and role = ':polarity')
+union all select graph_id, "at", label, node, ':polarity', '-' from (select * from n anti join neg using (graph_id, node)), l""")
+
+_add("graph_text", lambda s, d: _packed(s, d).select("graph_id", penman.encode("top", "g").alias("text")), """
+select 'g' || p_partkey graph_id, '(c / have-condition-91 :ARG1 (x / ' || case when p_size <= 25 then 'and' else 'or' end || ' :op1 (p / ' || p_type || ') :op2 (q / ' || p_name || ')'
+  || case when p_size % 3 = 0 then ' :polarity -' else '' end || ') :ARG2 (a / ' || p_brand || case when p_size % 2 = 1 then ' :polarity -' else '' end || '))' as text from part""")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
