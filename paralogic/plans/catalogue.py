@@ -311,6 +311,26 @@ neg as (select graph_id, source node from g where role = ':polarity')
 select graph_id, "at", label, source, role, target from g join n using (graph_id), l where not (label = 1 and source = node and role = ':polarity')
 union all select graph_id, "at", label, node, ':polarity', '-' from (select * from n anti join neg using (graph_id, node)), l""")
 
+_add("rewrite_contraposition", _applied("contraposition"), f"""
+with {_GRAPH}, l as (select unnest([0, 1]) label), ids as (select distinct graph_id from g),
+neg as (select graph_id from g where role = ':polarity' and source = 'a')
+select graph_id, 0 "at", label, source, case when label = 1 and source = 'c' and role = ':ARG1' then ':ARG2' when label = 1 and source = 'c' and role = ':ARG2' then ':ARG1' else role end role,
+  case when label = 1 and source = 'x' and role = ':instance' then case target when 'and' then 'or' else 'and' end else target end target
+from g, l where not (source = 'a' and role = ':polarity')
+union all select graph_id, 0, label, 'a', ':polarity', '-' from (select * from ids anti join neg using (graph_id)), l
+union all select graph_id, 0, 1, n, ':polarity', '-' from ids, (select unnest(['p', 'q']) n)""")
+
+_add("rewrite_de_morgan", _applied("de_morgan"), f"""
+with {_GRAPH}, l as (select unnest([0, 1]) label), ids as (select distinct graph_id from g where source = 'x' and role = ':polarity')
+select graph_id, 0 "at", label, source, role, case when source = 'x' and role = ':instance' then case target when 'and' then 'or' else 'and' end else target end target
+from g semi join ids using (graph_id), l where not (source = 'x' and role = ':polarity')
+union all select graph_id, 0, 1, n, ':polarity', '-' from ids, (select unnest(['p', 'q']) n)""")
+
+_add("rewrite_commutative", _applied("commutative"), f"""
+with {_GRAPH}, l as (select unnest([0, 1]) label)
+select graph_id, 0 "at", label, source, case when label = 1 and source = 'x' and role = ':op1' then ':op2' when label = 1 and source = 'x' and role = ':op2' then ':op1' else role end role, target from g, l
+union all select distinct graph_id, 0, 0, 'q', ':polarity', '-' from g""")
+
 _add("graph_text", lambda s, d: _packed(s, d).select("graph_id", penman.encode("top", "g").alias("text")), """
 select 'g' || p_partkey graph_id, '(c / have-condition-91 :ARG1 (x / ' || case when p_size <= 25 then 'and' else 'or' end || ' :op1 (p / ' || p_type || ') :op2 (q / ' || p_name || ')'
   || case when p_size % 3 = 0 then ' :polarity -' else '' end || ') :ARG2 (a / ' || p_brand || case when p_size % 2 = 1 then ' :polarity -' else '' end || '))' as text from part""")
