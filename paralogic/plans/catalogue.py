@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine, normalize
 from ..functions import penman
-from ..operators import corpus, graphs, rules
+from ..operators import attributes, corpus, graphs, rules
 from ..operators import verdicts as v
 
 
@@ -331,6 +331,11 @@ with {_GRAPH}, l as (select unnest([0, 1]) label)
 select graph_id, 0 "at", label, source, case when label = 1 and source = 'x' and role = ':op1' then ':op2' when label = 1 and source = 'x' and role = ':op2' then ':op1' else role end role, target from g, l
 union all select distinct graph_id, 0, 0, 'q', ':polarity', '-' from g""")
 
+_add("node_attributes", lambda s, d: attributes.attributes(_packed(s, d)), f"""
+with {_GRAPH}
+select graph_id, source node, ':animacy' role, 'inanimate' as value from g where role = ':instance' and not contains(target, '-')
+union all select graph_id, source, ':modal-strength', 'full-affirmative' from g where role = ':instance' and source = 'c'""")
+
 _add("graph_text", lambda s, d: _packed(s, d).select("graph_id", penman.encode("top", "g").alias("text")), """
 select 'g' || p_partkey graph_id, '(c / have-condition-91 :ARG1 (x / ' || case when p_size <= 25 then 'and' else 'or' end || ' :op1 (p / ' || p_type || ') :op2 (q / ' || p_name || ')'
   || case when p_size % 3 = 0 then ' :polarity -' else '' end || ') :ARG2 (a / ' || p_brand || case when p_size % 2 = 1 then ' :polarity -' else '' end || '))' as text from part""")
