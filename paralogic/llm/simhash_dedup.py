@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, stored, table
+from .shingle_links import frequent_shingles, linked_rows, prefixes
 
 BITS = 64
 #: Members of a probe key above which the key is split.
@@ -329,14 +330,17 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one of smallest doc_id; all columns stay.
 
+    Documents link at a Jaccard coefficient of 0.8 or more of their five-word
+    shingles (``shingle_links``); op7's three words and 3 bits do not bind here.
     Rows are told apart by a number, so of repeated rows one stays. The numbered
     table is written first: numbers made anew could differ after an executor is
     lost. Only numbers of kept rows meet the texts again, in one join."""
     numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    rows = cut(fingerprints(numbered, carry=("_row",)))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"), first))
-    named = assign(distinct.select("fp", "least_id", F.col("least_id").alias("doc_id")), distinct.select("fp", "least_id"))
-    kept = distinct.join(named.select("fp", "component_id"), "fp").groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp"))).agg(F.min("first").alias("first"))
-    kept = cut(kept.select(F.col("first._row").alias("_row")))
+    frequent = frequent_shingles(numbered)
+    rows = stored(prefixes(numbered, frequent), "prefixes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    distinct = cut(rows.groupBy("digest").agg(first).select("first", F.col("first.row").alias("row")))
+    roots = linked_rows(rows.join(distinct.select("row"), "row", "left_semi").select("row", "size", "known", "keys"), numbered, frequent, components)
+    named = distinct.join(roots, "row", "left").groupBy(F.coalesce("root", "row")).agg(F.min("first").alias("first"))
+    kept = cut(named.select(F.col("first.row").alias("_row")))
     return numbered.join(kept, "_row", "left_semi").drop("_row")
