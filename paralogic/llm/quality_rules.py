@@ -6,11 +6,16 @@ high-dynamic-range histogram on integers, whose counts add up, whose bins are
 exact below 1024 and have a relative width of at most 1/512 above. Quantiles of
 the sketches give each group's limits; the limits are joined back and filter.
 
-A limit is ``q75 + 3 * max(q75 - q25, floor)`` (and its mirror image for the
-lower limit of word length): far outside what the group's own middle half
-spreads over, so an ordinary text is kept whatever share of its group is junk
-up to a quarter. Groups of fewer than ``MIN_GROUP`` texts use the sketch of all
-texts, which is the sum of the groups' sketches.
+The upper limit of a metric is ``q75 + REACH * max(q75 - q25, least)``, the lower one
+of word length its mirror image: far outside what the group's own middle half
+spreads over, so an ordinary text is kept whatever share of its group is junk up to a
+quarter, and a group whose texts vary more is given more room. ``least`` is the
+smallest spread a metric can tell. No cutoff is fixed beside that.
+
+A group's quantiles are shrunk towards its language's, and those towards all texts',
+as if ``PRIOR`` texts of the wider sketch were added; so a group of a few texts leans
+on its language and a large one on itself, by one rule at every size. Sketches of
+languages and of all texts are sums of the groups' sketches.
 
 Scale: texts are read once; 8 integers a text are kept in a checkpoint. Sketches
 are pre-aggregated before they are shuffled, so a source with a third of all rows
@@ -39,14 +44,16 @@ _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 #: Odd multipliers of the window hash (fixed, arbitrary).
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-#: Texts a group needs for limits of its own.
-MIN_GROUP = 200
-#: metric: (sides, least spread in the metric's unit, guard: within it no text fails).
+#: Texts of the wider sketch that a group's quantiles are blended with.
+PRIOR = 50
+#: Spreads that a limit lies beyond the middle half.
+REACH = 6
+#: metric: (sides, least spread in the metric's unit).
 METRICS = {
-    "word_len": ("both", 50, (200, 1500)),  # hundredths of a code point a word
-    "symbols": ("high", 5, (0, 100)),  # thousandths of a symbol a word
-    "dup_lines": ("high", 5, (0, 500)),  # thousandths of duplicate lines a line
-    "repeats": ("high", 5, (0, 200)),  # thousandths of repeated words a word
+    "word_len": ("both", 20),  # hundredths of a code point a word
+    "symbols": ("high", 10),  # thousandths of a symbol a word
+    "dup_lines": ("high", 60),  # thousandths of duplicate lines a line
+    "repeats": ("high", 30),  # thousandths of repeated words a word
 }
 
 
@@ -160,21 +167,25 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return upto.groupBy(*keys, "metric").agg(F.max("size").alias("size"), least(1).alias("q25"), least(3).alias("q75"))
 
 
-def limits(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source, <metric>_low, <metric>_high): a row for each group; small groups take those of all texts."""
-    own, every = quantiles(sketch, ["lang", "source"]), quantiles(sketch, [])
-    every = every.select("metric", F.col("q25").alias("all25"), F.col("q75").alias("all75"))
-    both = own.join(F.broadcast(every), "metric")  # a row for each of the metrics
-    use = F.col("size") >= min_group
-    both = both.select("lang", "source", "metric", F.when(use, F.col("q25")).otherwise(F.col("all25")).alias("q25"), F.when(use, F.col("q75")).otherwise(F.col("all75")).alias("q75"))
+def shrunk(own: DataFrame, wider: DataFrame, keys: list[str], prior: int) -> DataFrame:
+    """Quantiles of ``own`` blended with those of ``prior`` texts of the wider sketch, unique in ``keys``."""
+    joined = attach(own, cut(wider.select(*keys, F.col("q25").alias("w25"), F.col("q75").alias("w75"))), keys)
+    blend = lambda q, w: F.expr(f"(size * {q} + {prior} * {w}) div (size + {prior})")
+    return joined.withColumns({"q25": blend("q25", "w25"), "q75": blend("q75", "w75")}).drop("w25", "w75")
+
+
+def limits(sketch: DataFrame, prior: int = PRIOR, reach: int = REACH) -> DataFrame:
+    """(lang, source, <metric>_low, <metric>_high): a row for each group."""
+    langs = shrunk(quantiles(sketch, ["lang"]), quantiles(sketch, []), ["metric"], prior)
+    groups = shrunk(quantiles(sketch, ["lang", "source"]), langs, ["lang", "metric"], prior)
     columns = []
-    for name, (sides, floor, (low, high)) in METRICS.items():
-        room = 3 * F.greatest(F.col("q75") - F.col("q25"), F.lit(floor))
+    for name, (sides, least) in METRICS.items():
+        room = reach * F.greatest(F.col("q75") - F.col("q25"), F.lit(least))
         mine = F.col("metric") == name
-        columns.append(F.max(F.when(mine, F.greatest(F.col("q75") + room, F.lit(high)))).alias(f"{name}_high"))
+        columns.append(F.max(F.when(mine, F.col("q75") + room)).alias(f"{name}_high"))
         if sides == "both":
-            columns.append(F.max(F.when(mine, F.least(F.col("q25") - room, F.lit(low)))).alias(f"{name}_low"))
-    return both.groupBy("lang", "source").agg(*columns)
+            columns.append(F.max(F.when(mine, F.col("q25") - room)).alias(f"{name}_low"))
+    return groups.groupBy("lang", "source").agg(*columns)
 
 
 def judge(rows: DataFrame, found: DataFrame, min_words: int = 10, max_repeat_percent: int = 20) -> DataFrame:
@@ -190,11 +201,11 @@ def judge(rows: DataFrame, found: DataFrame, min_words: int = 10, max_repeat_per
     return joined.withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
-def adaptive_filter(docs: DataFrame, id_col: str = "doc_id", min_group: int = MIN_GROUP) -> DataFrame:
+def adaptive_filter(docs: DataFrame, id_col: str = "doc_id", prior: int = PRIOR) -> DataFrame:
     """Measured rows of ``docs`` with their group's limits and verdicts."""
     columns = [F.col(id_col).alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text")]
     rows = cut(measured(docs.select(*columns), ["doc_id", "lang", "source"]))
-    return judge(rows, cut(limits(sketches(rows), min_group)))
+    return judge(rows, cut(limits(cut(sketches(rows)), prior)))
 
 
 def op3_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,8 +225,11 @@ def _sql_limits(keys: str, name: str) -> str:
 
 
 def _sql_high(name: str) -> str:
-    _, floor, (_, high) = METRICS[name]
-    return f"max(greatest(q75 + 3 * greatest(q75 - q25, {floor}), {high})) filter (where metric = '{name}') {name}_high"
+    return f"max(q75 + {REACH} * greatest(q75 - q25, {METRICS[name][1]})) filter (where metric = '{name}') {name}_high"
+
+
+def _sql_blend(own: str, wider: str) -> str:
+    return ", ".join(f"({own}.size * {own}.{q} + {PRIOR} * {wider}.{q})::bigint // ({own}.size + {PRIOR})::bigint {q}" for q in ("q25", "q75"))
 
 
 SQL = f"""
@@ -240,14 +254,15 @@ metrics as (
 bins as (
   select lang, source, metric, (v >> greatest(0, length(bin(v)) - 10)::int) << greatest(0, length(bin(v)) - 10)::int bin from metrics),
 {_sql_limits("lang, source", "own")},
+{_sql_limits("lang", "tongue")},
 {_sql_limits("", "every")},
+langs as (select tongue.lang, tongue.metric, {_sql_blend("tongue", "every")} from tongue join every on tongue.metric = every.metric),
 used as (
-  select own.lang, own.source, own.metric, case when own.size >= {MIN_GROUP} then own.q25 else every.q25 end q25,
-    case when own.size >= {MIN_GROUP} then own.q75 else every.q75 end q75
-  from own join every on own.metric = every.metric),
+  select own.lang, own.source, own.metric, {_sql_blend("own", "langs")}
+  from own join langs on own.lang is not distinct from langs.lang and own.metric = langs.metric),
 lim as (
   select lang, source, {", ".join(_sql_high(k) for k in METRICS)},
-    max(least(q25 - 3 * greatest(q75 - q25, 50), 200)) filter (where metric = 'word_len') word_len_low
+    max(q25 - {REACH} * greatest(q75 - q25, {METRICS["word_len"][1]})) filter (where metric = 'word_len') word_len_low
   from used group by lang, source),
 judged as (
   select m.*, n_words < 10 or 100 * n_repeat_words > 20 * n_words base_failed,
