@@ -1,29 +1,31 @@
 """Document quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE`` words. Every passage of the whole
-text is encoded (style shares and a hashed bag of word shapes), embedded, and
+text is encoded (style shares, hashed bags of word shapes and of words), embedded, and
 weighted by gated attention, a = softmax(w . (tanh(V h) * sigmoid(U h))); the
 document's score is a logistic function of the weighted passage representation.
 Attention weights and embeddings are learned from document labels alone.
 
 Training: at most ``MAX_TRAIN`` labelled documents of each class, the first by a
-hash of doc_id among those whose crc32(doc_id) mod 5 is not 0, and of each at
-most ``TRAIN_PASSAGES`` evenly spaced passages. Both bounds are parameters; they
-bound the driver's memory. Scoring uses all passages of all documents. Labels,
-lang, source and doc_id are not inputs of a score.
+hash of doc_id among those whose crc32(doc_id) mod 5 is not 0, and of those the
+first that have ``MAX_PASSAGES`` passages together; each with all its passages. Both
+bounds are parameters; they bound the driver's memory. Scoring uses all passages of
+all documents. Labels, lang, source and doc_id are not inputs of a score.
 
 Scale: the model (some 20 kB) travels in the task's closure; scoring is one
 narrow pass over the texts without a shuffle, in slices of some 100,000 words.
 
 Defined results: null and empty texts, and texts without a word, are one passage
 of its own kind and get a score like any other; a null doc_id is not held out
-and never trained on; of several labels of one doc_id the largest counts;
+and never trained on; of several labels of one doc_id the largest counts, of
+several texts the first by a hash of the text is trained on;
 repeated rows each get their (equal) score; an empty table gives no rows; with
 labels of fewer than two classes every score is 0.5; other columns stay out.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,20 +33,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, table
 
 PASSAGE = 64
 MAX_TRAIN = 2000
-TRAIN_PASSAGES = 24
+MAX_PASSAGES = 100_000
 THRESHOLD = 0.3
 
 SHAPES = 96
+CONTENT = 64
 STYLE = 14
-WIDTH = STYLE + SHAPES
+WIDTH = STYLE + SHAPES + CONTENT
 #: Distinct words an encoder remembers before it starts anew.
 MEMORY = 200_000
 #: Words encoded at once.
@@ -56,17 +59,19 @@ _KIND = bytes(97 if 97 <= b <= 122 else 65 if 65 <= b <= 90 else 57 if 48 <= b <
 _SIGNS = b"#*$%&|<>{}[]=_~^\\@"
 
 
-def word_features(word: bytes) -> tuple[list[float], int]:
-    """Style counts of one word, and the bucket of its shape (runs of a class are one)."""
+_SAME = re.compile(rb"(.)\1+", re.S)
+
+
+def word_features(word: bytes) -> tuple[list[float], int, int]:
+    """Style counts of one word, the bucket of its shape (runs of a class are one), and its own."""
     kinds = word.translate(_KIND)
-    shape = bytes(kinds[i] for i in range(min(len(kinds), 64)) if i == 0 or kinds[i] != kinds[i - 1])
     n = len(word)
     upper, digits, letters = kinds.count(b"A"), kinds.count(b"9"), kinds.count(b"a") + kinds.count(b"A") + kinds.count(b"b")
     signs = n - len(word.translate(None, _SIGNS))
     shouts = word.count(b"!") + word.count(b"?")
     ends = word[-1:] in (b".", b",", b";", b":", b"!", b"?")
     values = [min(n, 40) / 10, min(signs, 8), min(shouts, 8), upper / n, upper == letters and letters > 1, digits / n, ends, letters == 0, n <= 3, n > 20, kinds.count(b"b") / n]
-    return [float(v) for v in values], zlib.crc32(shape) % SHAPES
+    return [float(v) for v in values], zlib.crc32(_SAME.sub(rb"\1", kinds)) % SHAPES, zlib.crc32(word.lower(), 1) % CONTENT
 
 
 class Encoder:
@@ -75,15 +80,15 @@ class Encoder:
     def __init__(self) -> None:
         self.number: dict[bytes, int] = {}
         self.values = np.empty((1024, STYLE - 3), np.float32)
-        self.shapes = np.empty(1024, np.int64)
+        self.shapes, self.content = np.empty(1024, np.int64), np.empty(1024, np.int64)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         number = self.number
         for w in set(words).difference(number):
             at = number[w] = len(number)
             if at == len(self.shapes):
-                self.values, self.shapes = (np.concatenate([old, np.empty_like(old)]) for old in (self.values, self.shapes))
-            self.values[at], self.shapes[at] = word_features(w)
+                self.values, self.shapes, self.content = (np.concatenate([old, np.empty_like(old)]) for old in (self.values, self.shapes, self.content))
+            self.values[at], self.shapes[at], self.content[at] = word_features(w)
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +126,11 @@ class Encoder:
             again[order[1:]] = window[order[1:]] == window[order[:-1]]
             again &= doc[2:] == doc[:-2]
             out[:, k + 1] = np.bincount(place[2:][again], minlength=n) / count
-        bags = np.bincount(place * SHAPES + self.shapes[flat], minlength=n * SHAPES).reshape(n, SHAPES)
-        out[:, STYLE:] = np.sqrt(bags / count[:, None])
+        at = STYLE
+        for size, bucket in ((SHAPES, self.shapes), (CONTENT, self.content)):
+            bags = np.bincount(place * size + bucket[flat], minlength=n * size).reshape(n, size)
+            out[:, at : at + size] = np.sqrt(bags / count[:, None])
+            at += size
         return out, owner
 
 
@@ -196,27 +204,26 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list:
+def sample_features(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_passages: int = MAX_PASSAGES) -> list:
     """[(doc_id, y, passages as bytes)] of the bounded training sample, on the driver."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null")
     known = known.groupBy("_id").agg(F.max("_y").alias("_y")).filter(~held_out("_id"))
     first = lambda y: known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
     chosen = F.broadcast(first(0).unionByName(first(1)))  # 2 * max_train rows at most
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(chosen, F.col("doc_id") == F.col("_id"))
+    texts = texts.groupBy("_id", "_y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
-            rows = []
-            for text in batch.column(2):
-                x, _ = encoder.encode([text.as_py()])
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-                rows.append(x.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "y", "x"])
-
-    found = texts.mapInArrow(run, "doc_id long, y int, x binary").limit(4 * max_train).collect()  # repeated doc_ids count too, within the bound
-    return sorted(((r["doc_id"], r["y"], bytes(r["x"])) for r in found))
+            found = [encoder.encode([text.as_py()])[0].astype(np.float16) for text in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "y", "n", "x"])
+
+    rows = cut(texts.mapInArrow(run, "doc_id long, y int, n long, x binary"))
+    in_turn = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over 2 * max_train rows
+    taken = rows.select("doc_id", F.sum("n").over(in_turn).alias("upto")).filter(F.col("upto") <= max_passages)
+    found = rows.join(F.broadcast(taken), "doc_id").select("doc_id", "y", "x").collect()
+    return sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in found)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model | None:
