@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine, normalize
 from ..functions import penman
-from ..operators import attributes, corpus, graphs, rules
+from ..operators import attributes, corpus, dispatch, graphs, rules
 from ..operators import verdicts as v
+from . import extended, rule_queries
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -336,14 +337,21 @@ with {_GRAPH}
 select graph_id, source node, ':animacy' role, 'inanimate' as value from g where role = ':instance' and not contains(target, '-')
 union all select graph_id, source, ':modal-strength', 'full-affirmative' from g where role = ':instance' and source = 'c'""")
 
+_add("composition_contraposition_commutative", lambda s, d: rules.unpack(dispatch.compositions(_packed(s, d)).filter("template = 'contraposition+commutative'").drop("template", "top")).select("graph_id", "label", "source", "role", "target"), f"""
+with {_GRAPH}, l as (select unnest([0, 1]) label), ids as (select distinct graph_id from g), neg as (select graph_id from g where role = ':polarity' and source = 'a')
+select graph_id, label, source, case when source = 'c' and role = ':ARG1' then ':ARG2' when source = 'c' and role = ':ARG2' then ':ARG1' when label = 1 and source = 'x' and role = ':op1' then ':op2' when label = 1 and source = 'x' and role = ':op2' then ':op1' else role end role,
+  case when source = 'x' and role = ':instance' then case target when 'and' then 'or' else 'and' end else target end target from g, l where not (source = 'a' and role = ':polarity')
+union all select graph_id, label, 'a', ':polarity', '-' from (select * from ids anti join neg using (graph_id)), l
+union all select graph_id, label, 'p', ':polarity', '-' from ids, l union all select graph_id, 1, 'q', ':polarity', '-' from ids""")
+
 _add("graph_text", lambda s, d: _packed(s, d).select("graph_id", penman.encode("top", "g").alias("text")), """
 select 'g' || p_partkey graph_id, '(c / have-condition-91 :ARG1 (x / ' || case when p_size <= 25 then 'and' else 'or' end || ' :op1 (p / ' || p_type || ') :op2 (q / ' || p_name || ')'
   || case when p_size % 3 = 0 then ' :polarity -' else '' end || ') :ARG2 (a / ' || p_brand || case when p_size % 2 = 1 then ' :polarity -' else '' end || '))' as text from part""")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | rule_queries.QUERIES | extended.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | rule_queries.SQL | extended.SQL
