@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ngrams, zero_guard
+from .text import let, ngrams, zero_guard
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
@@ -49,24 +49,30 @@ def reward(first: Column, second: Column, own: Column, gold_hit: Column, abstain
 
 def clipped(cand: Column, ref: Column, n: int) -> Column:
     """(matched, total) of n-grams of ``cand`` found in ``ref``, each as often as it stands there."""
-    a, b = ngrams(cand, n), ngrams(ref, n)
     times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    hit = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, x: s + F.least(times(a, x), times(b, x)))
-    return F.struct(hit.alias("matched"), F.size(a).alias("total"))
+
+    def count(p: Column) -> Column:
+        both = F.array_intersect(p["a"], p["b"])
+        hit = F.aggregate(both, F.lit(0), lambda s, x: s + F.least(times(p["a"], x), times(p["b"], x)))
+        return F.struct(hit.alias("matched"), F.size(p["a"]).alias("total"))
+
+    return let(F.struct(ngrams(cand, n).alias("a"), ngrams(ref, n).alias("b")), count)
 
 
 def sentence_bleu(cand: Column, ref: Column, order: int = 4) -> Column:
     """BLEU of token arrays, 0 to 100; orders without a match count a half, a quarter, ... (exp smoothing), orders without an n-gram end it."""
-    counts = [clipped(cand, ref, n) for n in range(1, order + 1)]
-    total, used, zeros = F.lit(0.0), F.lit(0), F.lit(0)
-    for c in counts:
-        zeros = zeros + ((c["total"] > 0) & (c["matched"] == 0)).cast("int")
-        share = F.when(c["matched"] > 0, c["matched"] / c["total"]).otherwise(1 / (F.pow(F.lit(2.0), zeros) * c["total"]))
-        total = total + F.when(c["total"] > 0, F.log(share)).otherwise(0.0)
-        used = used + (c["total"] > 0).cast("int")
+    counts = F.array(*(clipped(cand, ref, n) for n in range(1, order + 1)))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("used"), F.lit(1.0).alias("power"))
+
+    def add(s: Column, c: Column) -> Column:
+        power = F.when(c["matched"] == 0, s["power"] * 2).otherwise(s["power"])
+        share = F.when(c["matched"] > 0, c["matched"] / c["total"]).otherwise(1 / (power * c["total"]))
+        more = F.struct((s["total"] + F.log(share)).alias("total"), (s["used"] + 1).alias("used"), power.alias("power"))
+        return F.when(c["total"] > 0, more).otherwise(s)
+
     brevity = F.when(F.size(cand) < F.size(ref), F.exp(1 - F.size(ref) / F.size(cand))).otherwise(1.0)
-    none = (F.size(cand) == 0) | (counts[0]["matched"] == 0)
-    return F.when(none, F.lit(0.0)).otherwise(100 * brevity * F.exp(total / used))
+    score = lambda cs: F.when((F.size(cand) == 0) | (F.get(cs, F.lit(0))["matched"] == 0), F.lit(0.0)).otherwise(100 * brevity * F.exp(F.aggregate(cs, start, add, lambda s: s["total"] / s["used"])))
+    return let(counts, score)
 
 
 def rouge_n(target: Column, made: Column, n: int) -> Column:

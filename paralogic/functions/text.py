@@ -26,10 +26,19 @@ def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])[ \t\n\r\f\x0B]+")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams joined by spaces; none of shorter arrays."""
-    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def run(t: Column) -> Column:
+        places = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice(t, i, n), " "))
+
+    return let(tokens, run)
 
 
 def jaccard(a: Column, b: Column) -> Column:

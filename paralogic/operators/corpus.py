@@ -18,15 +18,23 @@ def first_seen_sentences(docs: DataFrame, least: int = 5) -> DataFrame:
 def diversity(docs: DataFrame, group: str) -> DataFrame:
     """Per group: texts, mean tokens, type-token ratio, distinct-2.
 
-    Distinct counts are two-step aggregates, so no task holds a group's vocabulary."""
+    Texts are read and tokenised once: tokens and bigrams leave as one tagged array, and
+    texts and tokens are counted from the same rows. Distinct counts are two-step
+    aggregates, so no task holds a group's vocabulary."""
     rows = docs.select(F.col(group).alias("grp"), tokenize(F.col("text")).alias("tokens"))
-    base = rows.groupBy("grp").agg(F.count("*").alias("n_texts"), F.sum(F.size("tokens")).alias("n_tokens"))
-    unit = lambda kind, items: rows.select("grp", F.lit(kind).alias("kind"), F.explode(items).alias("item"))
-    both = unit("1", F.col("tokens")).unionByName(unit("2", ngrams(F.col("tokens"), 2)))
-    seen = both.groupBy("grp", "kind", "item").agg(F.count("*").alias("n")).groupBy("grp", "kind").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"))
-    wide = seen.groupBy("grp").agg(*(F.max(F.when(F.col("kind") == k, F.col(c))).alias(f"{c}{k}") for k in "12" for c in ("distinct", "total")))
-    ratio = lambda k: F.round(F.coalesce(F.col(f"distinct{k}"), F.lit(0)) / F.greatest(F.coalesce(F.col(f"total{k}"), F.lit(0)), F.lit(1)), 8)
-    return base.join(wide, "grp", "left").select("grp", "n_texts", F.round(F.col("n_tokens") / F.col("n_texts"), 8).alias("avg_tokens"), ratio("1").alias("ttr"), ratio("2").alias("distinct_2"))
+    tagged = lambda kind, items: F.transform(items, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("item")))
+    whole = F.array(F.struct(F.lit("0").alias("kind"), F.lit("").alias("item")))  # one for each text
+    items = rows.select("grp", F.explode(F.concat(whole, tagged("1", F.col("tokens")), tagged("2", ngrams(F.col("tokens"), 2)))).alias("x")).select("grp", "x.*")
+    seen = items.groupBy("grp", "kind", "item").agg(F.count("*").alias("n")).groupBy("grp", "kind").agg(F.count("*").alias("distinct"), F.sum("n").alias("total"))
+    wide = seen.groupBy("grp").agg(*(F.coalesce(F.max(F.when(F.col("kind") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k in "012" for c in ("distinct", "total")))
+    ratio = lambda k: F.round(F.col(f"distinct{k}") / F.greatest(F.col(f"total{k}"), F.lit(1)), 8)
+    return wide.select("grp", F.col("total0").alias("n_texts"), F.round(F.col("total1") / F.col("total0"), 8).alias("avg_tokens"), ratio("1").alias("ttr"), ratio("2").alias("distinct_2"))
+
+
+def distinct_ngrams(docs: DataFrame, n: int) -> DataFrame:
+    """(distinct, total, ratio) of word n-grams over all texts."""
+    grams = docs.select(F.explode(ngrams(tokenize(F.col("text")), n)).alias("g")).groupBy("g").agg(F.count("*").alias("c"))
+    return grams.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("total")).withColumn("ratio", F.round(F.col("distinct") / F.greatest("total", F.lit(1)), 8))
 
 
 def similar_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -93,15 +101,18 @@ def split(rows: DataFrame, id_col: str, seed: str, cuts: list[tuple[str, float]]
     return ranked.withColumn("split", label.otherwise(rest)).drop("_n", "rank")
 
 
-def quartiles(values: DataFrame, column: str) -> DataFrame:
-    """(n, mean, q1, q3): values at index n // 4 and 3 n // 4 of the sorted list, without interpolation.
+def quartiles(values: DataFrame, column: str, ranges: int = 1024) -> DataFrame:
+    """(n, mean, q1, q3): values at index n // 4 and 3 n // 4 of the sorted list, without interpolation; for values in 0 .. 1.
 
-    Equal values are counted first, so the running sum is over distinct values."""
-    counts = values.groupBy(column).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("u", F.sum("c").over(Window.orderBy(column)))
-    n = values.agg(F.count("*").alias("n"), F.round(F.avg(column), 8).alias("mean"))
+    Equal values are counted first. The count of each of ``ranges`` value ranges says in
+    which one an index falls; running sums are over ranges, and inside one range."""
+    counts = cut(values.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("c")).withColumn("_range", F.floor(F.col(column) * ranges)))
+    totals = values.agg(F.count("*").alias("n"), F.round(F.avg(column), 8).alias("mean"))
+    sums = counts.groupBy("_range").agg(F.sum("c").alias("_c"))
+    before = sums.select("_range", (F.sum("_c").over(Window.orderBy("_range")) - F.col("_c")).alias("_before"))  # a row a range
+    upto = counts.join(F.broadcast(before), "_range").withColumn("u", F.col("_before") + F.sum("c").over(Window.partitionBy("_range").orderBy(column)))
     at = lambda k: F.min(F.when(F.col("u") > F.floor(F.col("n") * k / 4), F.col(column)))
-    return upto.crossJoin(F.broadcast(n)).groupBy("n", "mean").agg(at(1).alias("q1"), at(3).alias("q3"))
+    return upto.join(F.broadcast(totals)).groupBy("n", "mean").agg(at(1).alias("q1"), at(3).alias("q3"))
 
 
 def turn_pairs(conversations: DataFrame) -> DataFrame:

@@ -130,19 +130,21 @@ def mask_links(triples: DataFrame) -> DataFrame:
     return triples.withColumn("target", F.when(F.col("role") == ":wiki", "+").otherwise(F.col("target")))
 
 
-def literal_closure(implications: DataFrame, rounds: int = 32) -> DataFrame:
-    """(a, b): closure of implications under contraposition and transitivity; a literal's negation is '-' before it.
+def literal_closure(implications: DataFrame, chain: bool = True) -> DataFrame:
+    """(a, b): closure of implications under contraposition and, with ``chain``, transitivity, until nothing is new;
+    a literal's negation is '-' before it.
 
     Each round joins the newest implications with all; the lineage is cut by a checkpoint."""
     minus = lambda c: F.when(F.startswith(c, F.lit("-")), F.substring(c, 2, 1_000_000)).otherwise(F.concat(F.lit("-"), c))
     known = implications.select("a", "b").unionByName(implications.select(minus(F.col("b")).alias("a"), minus(F.col("a")).alias("b"))).distinct()
+    if not chain:
+        return known
     known = cut(known)
     fresh = known
-    for _ in range(rounds):
+    while True:
         left = fresh.alias("l").join(known.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b"))
         right = known.alias("l").join(fresh.alias("r"), F.col("l.b") == F.col("r.a")).select(F.col("l.a").alias("a"), F.col("r.b").alias("b"))
         fresh = cut(left.unionByName(right).filter("a <> b").distinct().join(known, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
-            break
+            return known
         known = cut(known.unionByName(fresh))
-    return known

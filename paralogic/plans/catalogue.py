@@ -84,8 +84,8 @@ def _flat(triples: DataFrame) -> DataFrame:
 
 
 def _copies(spark: SparkSession, d: str) -> DataFrame:
-    """Each document's first sentence against the next document's, as candidate and reference."""
-    docs = _read(spark, d, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("s"))
+    """Each document's whole text against the next document's, as candidate and reference."""
+    docs = _read(spark, d, "documents").select("doc_id", F.col("text").alias("s"))
     return docs.select(F.col("doc_id").alias("id"), F.col("s").alias("cand")).join(docs.select((F.col("doc_id") - 1).alias("id"), F.col("s").alias("ref")), "id")
 
 
@@ -142,7 +142,7 @@ select sentence from a where sentence <> '' and sentence not in (select sentence
 _add("vocab_counts", lambda s, d: corpus.vocabulary(_read(s, d, "documents")), f"select token, count(*) n from (select unnest({_TOK.format('text')}) token from documents) group by token")
 _add("vocab_characters", lambda s, d: corpus.character_vocabulary(_read(s, d, "documents")), f"select ch, count(*) n from (select unnest(string_split(token, '')) ch from (select unnest({_TOK.format('text')}) token from documents)) where ch <> '' group by ch")
 _add("bleu_clipped_counts", lambda s, d: corpus.bleu_clipped(_copies(s, d), 1), f"""
-with s as (select doc_id, string_split(text, chr(10))[1] s from documents), c as (select doc_id id, w cand, count(*) n from (select doc_id, unnest({_TOK.format('s')}) w from s) where doc_id + 1 in (select doc_id from s) group by all),
+with s as (select doc_id, text s from documents), c as (select doc_id id, w cand, count(*) n from (select doc_id, unnest({_TOK.format('s')}) w from s) where doc_id + 1 in (select doc_id from s) group by all),
 r as (select doc_id - 1 id, w, count(*) m from (select doc_id, unnest({_TOK.format('s')}) w from s) group by all)
 select sum(least(n, coalesce(m, 0)))::bigint matched, sum(n)::bigint total from c left join r on c.id = r.id and c.cand = r.w""")
 
@@ -210,7 +210,7 @@ o as (select row_number() over (order by md5(tag), tag) ord, doc_id, quality fro
 _add("mcq_explode_binary", lambda s, d: _read(s, d, "conversations").filter("turn < 4").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("c")).filter("size(c) = 4").select("conv_id", F.posexplode("c").alias("pos", "x")).select("conv_id", "pos", F.length("x.text").alias("n"), (F.col("pos") == F.col("conv_id") % 4).cast("int").alias("label")),
      "select conv_id, row_number() over (partition by conv_id order by turn) - 1 pos, length(text) n, (row_number() over (partition by conv_id order by turn) - 1 = conv_id % 4)::int as label from conversations where turn < 4 qualify count(*) over (partition by conv_id) = 4")
 _add("exact_match_rate", lambda s, d: _copies(s, d).agg(F.round(F.avg((normalize(F.col("cand")) == normalize(F.col("ref"))).cast("double")), 8).alias("rate"), F.count("*").alias("n")), f"""
-with s as (select doc_id, string_split(text, chr(10))[1] s from documents)
+with s as (select doc_id, text s from documents)
 select round(avg(({_NORM.format('a.s')} = {_NORM.format('b.s')})::int::double), 8) rate, count(*) n from s a join s b on b.doc_id = a.doc_id + 1""")
 
 
@@ -276,6 +276,9 @@ _add("literal_closure", lambda s, d: graphs.literal_closure(_read(s, d, "nation"
 with recursive i as (select n_name a, r_name b from nation join region on n_regionkey = r_regionkey union select r_name, 'EARTH' from region),
 k as (select a, b from i union select '-' || b, '-' || a from i), c as (select a, b from k union select c.a, k.b from c join k on c.b = k.a where c.a <> k.b) select a, b from c""")
 
+_add("closure_contraposition", lambda s, d: graphs.literal_closure(_read(s, d, "nation").join(_read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b")), chain=False), "with i as (select n_name a, r_name b from nation join region on n_regionkey = r_regionkey) select a, b from i union select '-' || b, '-' || a from i")
+_add("distinct_trigrams", lambda s, d: corpus.distinct_ngrams(_read(s, d, "documents"), 3), f"with t as (select {_TOK.format('text')} ws from documents), g as (select ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g from t, unnest(range(1, len(ws) - 1)) r(i)) select count(distinct g) as distinct, count(*) total, round(count(distinct g)::double / count(*), 8) ratio from g")
+
 
 # ------------------------------------------------------------------ packed graphs
 

@@ -86,7 +86,7 @@ _row("value_in_set", _CANDIDATES, lambda x: x.filter(F.col("rule").isin("1-URGEN
 _row("non_collision", _CANDIDATES, lambda x: x.filter((F.col("output") != "") & (F.col("gold") != "") & (F.lower(F.trim("output")) != F.lower(F.trim("gold")))).select("id"), "select id from i where output <> '' and gold <> '' and lower(trim(output)) <> lower(trim(gold))")
 _TUPLES = Input("part", {"id": "p_partkey", "tuple": "case p_size % 5 when 0 then concat('(', p_brand, '; ', p_type, ')') when 1 then concat(p_brand, '; ; x') when 2 then concat('(', p_size, 'x; ', p_type, ')') when 3 then concat(p_brand, '; L:here') else p_name end"})
 _row("clean_tuples", _TUPLES, lambda x: x.filter(st.is_clean_tuple(F.col("tuple"))).select("id"), ", p as (select id, list_transform(string_split(regexp_replace(tuple, '[()]', '', 'g'), ';'), lambda x: trim(x)) a from i) select id from p where len(list_filter(a, lambda x: x = '' or regexp_matches(x, '^[0-9]') or contains(x, 'L:') or contains(x, 'T:'))) = 0")
-_row("length_agreement", Input("part", {"id": "p_partkey", "a": "p_name", "b": "p_type"}), lambda x: x.filter(F.size(st.words(F.col("a"))) == F.size(st.words(F.col("b")))).select("id"), "select id from i where len(list_filter(string_split(a, ' '), lambda x: x <> '')) = len(list_filter(string_split(b, ' '), lambda x: x <> ''))")
+_row("length_agreement", Input("part", {"id": "p_partkey", "a": "p_name", "b": "case when p_size % 2 = 0 then concat(p_type, ' x') else p_type end"}), lambda x: x.filter(F.size(st.words(F.col("a"))) == F.size(st.words(F.col("b")))).select("id"), "select id from i where len(list_filter(string_split(a, ' '), lambda x: x <> '')) = len(list_filter(string_split(b, ' '), lambda x: x <> ''))")
 _row("degenerate_graphs", Input("part", {"id": "p_partkey", "graph": "case p_size % 4 when 0 then '(d / dummy)' when 1 then concat('(a / ', p_brand, '~e.1)') else concat('(a / ', p_brand, ')') end"}), lambda x: x.filter(~F.col("graph").isin("(d / dummy)", "(a / amr-empty)", "()") & ~F.col("graph").contains("~")), "select * from i where graph not in ('(d / dummy)', '(a / amr-empty)', '()') and not contains(graph, '~')")
 _row("frequent_labels", Input("customer", {"id": "c_custkey", "label": "case when c_custkey % 50 = 0 then concat('rare', cast(c_custkey as string)) else c_mktsegment end"}), lambda x: sel.frequent_labels(x, "label"), "select id, label from i qualify count(*) over (partition by label) >= 2")
 _PRED = Input("documents", {"id": "doc_id", "gold": "doc_id % 3", "pred": "case when doc_id % 7 = 0 then (doc_id + 1) % 3 else doc_id % 3 end"})
@@ -232,3 +232,73 @@ _row("verbalized_implications", _LIT, lambda x: x.select("id", st.verbalized(F.c
 _row("spliced_contexts", _LIT, lambda x: x.select("id", F.coalesce(st.spliced(F.col("ctx"), F.col("old"), F.col("new")), F.lit(" ")).alias("context")), """, p as (select *, string_split(regexp_replace(ctx, '([.!?])[ \\t\\n]+', '\\1' || chr(1), 'g'), chr(1)) ps, list_distinct(string_split(lower(old), ' ')) os from i),
 q as (select *, list_filter(ps, lambda x: len(list_intersect(list_distinct(string_split(lower(x), ' ')), os)) > len(os) * 0.8::double)[1] hit from p)
 select id, case when contains(ctx, old) then replace(ctx, old, new) when hit is not null then array_to_string(list_transform(ps, lambda x: case when x = hit then new else x end), ' ') else ' ' end context from q""")
+
+_CHAIN = Input("part", {"id": "p_partkey", "phrases": "split(concat(p_name, ' ', p_brand), ' ')", "other": "split(concat(p_brand, ' ', p_type), ' ')"})
+_q("spread_phrases", "with i as (select p_partkey id, string_split(p_name || ' ' || p_brand, ' ') phrases from part) select id, phrases[k] a, phrases[k + 1] b from i, unnest(range(1, len(phrases))) r(k)")(lambda s, d: _CHAIN.df(s, d).select("id", F.explode(F.transform(F.sequence(F.lit(0), F.size("phrases") - 2), lambda k: F.struct(F.get("phrases", k).alias("a"), F.get("phrases", k + 1).alias("b")))).alias("p")).select("id", "p.a", "p.b"))
+_q("overlap_rates", "with i as (select p_partkey id, string_split(p_name || ' ' || p_brand, ' ') a, string_split(p_brand || ' ' || p_type, ' ') b from part) select id, round(len(list_intersect(list_distinct(a), list_distinct(b)))::double / len(list_distinct(a)), 8) rate, len(list_intersect(list_distinct(a), list_distinct(b)))::double / len(list_distinct(a)) > 0.2::double as alike from i")(lambda s, d: _CHAIN.df(s, d).select("id", (F.size(F.array_intersect("phrases", "other")) / F.size(F.array_distinct("phrases"))).alias("r")).select("id", F.round("r", 8).alias("rate"), (F.col("r") > 0.2).alias("alike")))
+_U = "(('0x' || substr(md5(concat_ws('|', 'op', id::varchar)), 1, 13))::bigint::double / 4503599627370496::double)"
+_row("negative_operations", Input("part", {"id": "p_partkey"}), lambda x: x.withColumn("u", F.conv(F.substring(sel.seeded("op", "id"), 1, 13), 16, 10).cast("double") / float(2**52)).select("id", F.when(F.col("u") > 0.75, "delete").when(F.col("u") > 0.35, "reverse").when(F.col("u") > 0.175, "negate_left").otherwise("negate_right").alias("op")), f"select id, case when {_U} > 0.75::double then 'delete' when {_U} > 0.35::double then 'reverse' when {_U} > 0.175::double then 'negate_left' else 'negate_right' end op from i")
+_row("component_tags", Input("lineitem", {"doc": "l_orderkey", "name": "concat('n', l_partkey % 5)", "pos": "l_linenumber"}), lambda x: x.groupBy("doc", "name").agg(F.min("pos").alias("first")).withColumn("tag", F.dense_rank().over(Window.partitionBy("doc").orderBy("first", "name")) - 1).select("doc", "name", "tag"), ", f as (select doc, name, min(pos) first from i group by doc, name) select doc, name, dense_rank() over (partition by doc order by first, name) - 1 tag from f")
+
+# ------------------------------------------------------------------ documents and tables
+
+_NAMES = Input("events", {"doc": "user_id % 20", "pos": "event_id", "name": "event_type", "map_value": "event_type"})
+_row("name_chains", _NAMES, lambda x: x.groupBy("doc", "name").agg(F.array_sort(F.collect_list("pos")).alias("nodes")).select("doc", "name", F.explode(F.when(F.size("nodes") > 1, F.arrays_zip(F.slice("nodes", F.lit(1), F.size("nodes") - 1).alias("a"), F.slice("nodes", F.lit(2), F.size("nodes")).alias("b")))).alias("p")).select("doc", "name", "p.a", "p.b"), "select doc, name, pos a, lead(pos) over (partition by doc, name order by pos) b from i qualify b is not null")
+_row("doc_groups", _NAMES, lambda x: x.groupBy("doc").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names")), "select doc, count(*) n, count(distinct name) n_names, array_to_string(list_sort(list_distinct(list(name))), ',') names from i group by doc")
+_row("label_statistics", Input("events", {"id": "event_id", "kind": "event_type"}), lambda x: ev.label_statistics(x.withColumn("m", F.create_map(F.lit("aspect"), F.col("kind"))), ["id"], "m"), "select kind as value, count(*) n from i group by kind")
+_row("mean_length_by_label", Input("documents", {"label": "doc_id % 2", "text": "text"}), lambda x: x.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(F.size(tokenize(F.col("text")))), 8).alias("mean_tokens")), "select label, count(*) n, round(avg(len(list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\\[-`{-~]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+'), lambda t: t <> ''))), 8) mean_tokens from i group by label")
+_row("transposed_table", Input("lineitem", {"a": "l_orderkey", "b": "l_linenumber", "p": "l_discount / 1e7"}), lambda x: x.filter("p > 1e-9").select(F.col("b").alias("a"), F.col("a").alias("b"), "p"), "select b as a, a as b, p from i where p > 1e-9::double")
+_ENTITY, _KNOWN = Input("customer", {"id": "c_custkey", "name": "c_mktsegment"}), Input("region", {"name": "upper(case r_regionkey when 0 then 'BUILDING' when 1 then 'MACHINERY' else r_name end)", "link": "concat('Q', cast(r_regionkey as string))"})
+_q("added_links", f"with {_ENTITY.cte('e')}, {_KNOWN.cte('k')} select id, coalesce(link, '-') link from e left join k using (name)")(lambda s, d: _ENTITY.df(s, d).join(F.broadcast(_KNOWN.df(s, d)), "name", "left").select("id", F.coalesce("link", F.lit("-")).alias("link")))  # the entity table is a dimension of a region's size
+
+# ------------------------------------------------------------------ generated text
+
+_TURNS = """with p as (select a.conv_id id, a.turn, {x} x, {y} y from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1 where a.role = 'user' and b.role = 'assistant')"""
+_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[ \\t\\n\\r\\f\\x0B]+'), lambda t: t <> '')"
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    c = s.read.parquet(f"{d}/conversations.parquet")
+    user = c.filter("role = 'user'").select(F.col("conv_id").alias("id"), "turn", tokenize(F.col("text")).alias("x"))
+    return user.join(c.filter("role = 'assistant'").select(F.col("conv_id").alias("id"), (F.col("turn") - 1).alias("turn"), tokenize(F.col("text")).alias("y")), ["id", "turn"])
+
+
+_TP = _TURNS.format(x=_TOKENS.format("a.text"), y=_TOKENS.format("b.text"))
+_ORDERS_OF = " union all ".join(f"select id, turn, {n} n, s, g, count(*) c from (select id, turn, 'x' s, array_to_string(x[i:i + {n - 1}], ' ') g from p, unnest(range(1, len(x) - {n - 2})) r(i) union all select id, turn, 'y', array_to_string(y[i:i + {n - 1}], ' ') from p, unnest(range(1, len(y) - {n - 2})) r(i)) group by all" for n in range(1, 5))
+_COUNTS = f"{_TP}, g as ({_ORDERS_OF}), m as (select a.id, a.turn, a.n, sum(a.c) total, sum(least(a.c, coalesce(b.c, 0))) hit, from (select * from g where s = 'x') a left join (select * from g where s = 'y') b on a.id = b.id and a.turn = b.turn and a.n = b.n and a.g = b.g group by a.id, a.turn, a.n)"
+
+
+@_q("corpus_bleu", f"{_COUNTS}, t as (select n, sum(hit) hit, sum(total) total from m group by n), l as (select sum(len(x)) c, sum(len(y)) r from p) select round(100 * exp(sum(ln(hit::double / total)) / 4) * case when max(c) < max(r) then exp(1 - max(r)::double / max(c)) else 1 end, 6) bleu from t, l")
+def _corpus_bleu(s, d):
+    counts = _turns(s, d).select(F.size("x").alias("c"), F.size("y").alias("r"), *(scores.clipped(F.col("x"), F.col("y"), n).alias(f"k{n}") for n in range(1, 5)))
+    sums = counts.agg(F.sum("c").alias("c"), F.sum("r").alias("r"), *(F.sum(f"k{n}.{f}").alias(f"{f}{n}") for n in range(1, 5) for f in ("matched", "total")))
+    mean = sum((F.log(F.col(f"matched{n}") / F.col(f"total{n}")) for n in range(1, 5)), F.lit(0.0)) / 4
+    return sums.select(F.round(100 * F.exp(mean) * F.when(F.col("c") < F.col("r"), F.exp(1 - F.col("r") / F.col("c"))).otherwise(1.0), 6).alias("bleu"))
+
+
+_q("rouge_scores", f"{_COUNTS}, h as (select id, turn, n, hit, total, greatest(len(y) - n + 1, 0) ref from m join p using (id, turn) where n <= 2), f as (select id, turn, n, case when hit = 0 then 0 else 2 * (hit::double / total) * (hit::double / ref) / (hit::double / total + hit::double / ref) end v from h)\nselect round(avg(coalesce(a.v, 0)) * 100, 6) rouge1, round(avg(coalesce(b.v, 0)) * 100, 6) rouge2 from p left join f a on a.id = p.id and a.turn = p.turn and a.n = 1 left join f b on b.id = p.id and b.turn = p.turn and b.n = 2")(lambda s, d: _turns(s, d).agg(F.round(F.avg(scores.rouge_n(F.col("y"), F.col("x"), 1)) * 100, 6).alias("rouge1"), F.round(F.avg(scores.rouge_n(F.col("y"), F.col("x"), 2)) * 100, 6).alias("rouge2")))
+_READ = Input("conversations", {"id": "conv_id", "turn": "turn", "text": "coalesce(text, '')"})
+_row("readability", _READ, lambda x: x.select("id", "turn", scores.reading_ease(F.regexp_count("text", F.lit("[A-Za-z]+")), F.regexp_count("text", F.lit("[.!?]+")), F.regexp_count("text", F.lit("[A-Za-z]")), F.regexp_count("text", F.lit("[aeiouyAEIOUY]+"))).alias("r")).select("id", "turn", "r.flesch", "r.flesch_kincaid", "r.coleman_liau", "r.ari"),
+     ", c as (select id, turn, len(regexp_extract_all(text, '[A-Za-z]+'))::double w, len(regexp_extract_all(text, '[.!?]+'))::double s, len(regexp_extract_all(text, '[A-Za-z]'))::double l, len(regexp_extract_all(text, '[aeiouyAEIOUY]+'))::double y from i) select id, turn, case when w > 0 and s > 0 then round(206.835::double - 1.015::double * (w / s) - 84.6::double * (y / w), 2) else 0 end flesch, case when w > 0 and s > 0 then round(0.39::double * (w / s) + 11.8::double * (y / w) - 15.59::double, 2) else 0 end flesch_kincaid, case when w > 0 and s > 0 then round(5.88::double * (l / w) - 29.6::double * (s / w) - 15.8::double, 2) else 0 end coleman_liau, case when w > 0 and s > 0 then round(4.71::double * (l / w) + 0.5::double * (w / s) - 21.43::double, 2) else 0 end ari from c")
+@_q("graph_subscores")
+def _subscores(s, d):
+    from .rule_queries import varied
+
+    gold = varied(s, d)
+    pred = gold.withColumn("target", F.when((F.col("role") == ":instance") & (F.col("target") == "dog"), "cat").otherwise(F.col("target"))).filter("role <> ':polarity' or source <> 'x'")
+    return ev.subscores(gold, pred)
+
+
+def _subscores_sql() -> str:
+    from .rule_queries import W
+
+    side = """{0}c as (select graph_id, source node, target concept from {0} where role = ':instance'), {0}s as (
+  select distinct graph_id, 'concepts' score, concept item from {0}c union select distinct graph_id, 'frames', concept from {0}c where regexp_matches(concept, '^.+-[0-9]+$') union select distinct graph_id, 'non_sense_frames', regexp_replace(concept, '-[0-9]+$', '') from {0}c where regexp_matches(concept, '^.+-[0-9]+$')
+  union select distinct e.graph_id, 'negations', concept || ' ' || target from {0} e join {0}c c on c.graph_id = e.graph_id and c.node = e.source where role = ':polarity'
+  union select distinct e.graph_id, 'ignore_vars', concat_ws(' ', coalesce(a.concept, source), role, coalesce(b.concept, target)) from {0} e left join {0}c a on a.graph_id = e.graph_id and a.node = source left join {0}c b on b.graph_id = e.graph_id and b.node = target where role <> ':instance')"""
+    return f"""with {W}, q as (select graph_id, pos, source, role, case when role = ':instance' and target = 'dog' then 'cat' else target end target from w where role <> ':polarity' or source <> 'x'),
+{side.format('w')}, {side.format('q')}, j as (select coalesce(a.score, b.score) score, a.item g, b.item p from ws a full join qs b on a.graph_id = b.graph_id and a.score = b.score and a.item = b.item)
+select score, count(*) filter (g is not null and p is not null) matched, count(p) n_pred, count(g) n_gold, round(coalesce(2.0 * count(*) filter (g is not null and p is not null) / nullif(count(p) + count(g), 0), 0)::double, 8) f1 from j group by score"""
+
+
+SQL["graph_subscores"] = _subscores_sql()

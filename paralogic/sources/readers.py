@@ -6,15 +6,27 @@ be found by a separator; files of those formats are split by the writer, not her
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEPARATOR = "#{80}"
 
 
-def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """CSV with a header and quotes doubled inside quotes."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+def csv(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """CSV with a header and quotes doubled inside quotes. Without line feeds inside cells, ``multi_line``
+    can be off, so that a large file is split."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", multi_line).csv(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, item): trimmed lines that are not blank, with their place among those of the file, from 0.
+
+    Files are split as Spark likes; a split's lines are counted, and the counts of the splits before are added."""
+    rows = spark.read.text(path).select(F.trim(F.regexp_replace("value", "[\r\t]", " ")).alias("item"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("k")).filter("item <> ''")
+    counts = rows.groupBy("file", "start").agg(F.count("*").alias("n"))
+    before = counts.select("file", "start", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("file", "start").orderBy("k")) - 1
+    return rows.withColumn("inside", inside).join(before, ["file", "start"]).select("file", (F.col("before") + F.col("inside")).alias("at"), "item")
 
 
 def ragged_csv(spark: SparkSession, path: str, columns: int) -> DataFrame:
@@ -38,13 +50,11 @@ def jsonl_folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def sentences(spark: SparkSession, path: str) -> DataFrame:
     """(id, text) of a .json (list, or object with ``sentences``), .jsonl (``text`` or ``sentence``) or
     .txt file (a sentence a line); ids that are absent are the place in the file, from 0."""
-    whole = spark.read.text(path, wholetext=True)
     if path.endswith(".json"):
         items = F.coalesce(F.from_json(F.get_json_object("value", "$.sentences"), "array<string>"), F.from_json("value", "array<string>"))
+        rows = spark.read.text(path, wholetext=True).select(F.posexplode(items).alias("at", "item"))
     else:
-        lines = F.transform(F.split("value", "\r?\n"), lambda x: F.trim(x))
-        items = F.filter(lines, lambda x: x != "")
-    rows = whole.select(F.posexplode(items).alias("at", "item"))
+        rows = numbered_lines(spark, path).select("at", "item")
     if path.endswith(".txt"):
         return rows.select(F.col("at").cast("string").alias("id"), F.col("item").alias("text"))
     field = lambda name: F.get_json_object("item", f"$.{name}")
