@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dispatch, lexicons as lex, rules
+from ..operators import dispatch, documents, lexicons as lex, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,20 @@ SQL["attribute_counts"] = f"""with {W}, f as (select graph_id, source, target fr
 x as (select graph_id, ':animacy' as role from f where target in ('dog', 'person', 'mother', 'after', 'before', 'now', 'night') union all
   select graph_id, ':modal-strength' from f where source in ('e', 'y') union all select graph_id, ':aspect' from h where freq)
 select role, count(*) n from x group by role"""
+
+# ------------------------------------------------------------------ documents
+
+
+def _sentences(s: SparkSession, d: str) -> DataFrame:
+    no = F.regexp_replace("graph_id", "w", "").cast("long")
+    return _packed(s, d).select((no % 10).alias("doc"), no.alias("pos"), F.concat("graph_id", F.lit(".")).alias("prefix"), "top", "g")
+
+
+QUERIES["document_relations"] = lambda s, d: documents.relations(_sentences(s, d))
+SQL["document_relations"] = f"""with {W}, k as (select *, substr(graph_id, 2)::bigint no from w),
+e as (select no % 10 doc, no, graph_id || '.' p, source, row_number() over (partition by graph_id order by pos) n from k where role = ':instance' and regexp_matches(target, '^[a-z][a-z0-9_-]*-[0-9]{{2,3}}$'))
+select doc, 'author' src, case when exists (select 1 from neg where neg.graph_id || '.' = p and neg.source = e.source) then ':full-negative' else ':full-affirmative' end rel, p || source tgt from e
+union all select doc, 'document-creation-time', ':before', p || source from e
+union all select a.doc, a.p || a.source, ':overlap', b.p || b.source from e a join e b on a.no = b.no and a.n < b.n and b.n <= 8
+union all select substr(graph_id, 2)::bigint % 10, graph_id || '.e', ':' || word, graph_id || '.' || anchor from h where timed and word in ('after', 'before') and anchor is not null
+union all select doc, src, ':before', tgt from (select substr(graph_id, 2)::bigint % 10 doc, graph_id || '.e' src, lead(graph_id || '.e') over (partition by substr(graph_id, 2)::bigint % 10 order by substr(graph_id, 2)::bigint) tgt from h) where tgt is not null"""

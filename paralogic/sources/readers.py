@@ -128,3 +128,60 @@ def paragraphs(spark: SparkSession, path: str) -> DataFrame:
     labels = F.transform(F.slice("lines", 2, 1_000_000), lambda x: F.trim(F.regexp_replace(x, r"^\S*\s", "")))
     text = F.get("lines", F.lit(0))
     return rows.select(F.trim(text).alias("text"), labels.alias("labels")).filter((F.size(F.split("text", r"\s+")) <= 30) & F.col("text").rlike(r"[\x00-\x7F]") & (F.length(F.regexp_replace("text", r"[A-Za-z0-9\s]", "")) <= 30))
+
+
+#: Characters of a one-byte code page that stand in UTF-8 files, and what they mean.
+REPAIRS = {
+    "\x82": ",", "\x84": ",,", "\x85": "...", "\x88": "^", "\x91": "'", "\x92": "'", "\x93": '"', "\x94": '"', "\x95": " ", "\x96": "-", "\x97": "--", "\x99": " ",
+    "\xa0": " ", "\xa6": "|", "\xab": "<<", "\xbb": ">>", "\xbc": "1/4", "\xbd": "1/2", "\xbe": "3/4", "\u02bf": "'", "\u0328": "", "\u0331": "",
+}
+
+
+def repaired(text: Column) -> Column:
+    """ASCII text: known wrong characters by ``REPAIRS``, letters without their marks, anything else dropped."""
+    marked = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
+    plain = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
+    for wrong, right in REPAIRS.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return F.regexp_replace(F.translate(text, marked, plain), "[^\\x00-\\x7F]", "")
+
+
+def raw_graph_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(entry): as ``graph_corpus``, of files with characters of another code page."""
+    return graph_corpus(spark, path).select(repaired(F.col("entry")).alias("entry"))
+
+
+def collated(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source, entry): graph corpora in the order given, told apart by their place; an empty one is an error."""
+    parts = [graph_corpus(spark, p).select(F.lit(k).alias("source"), "entry") for k, p in enumerate(paths)]
+    for path, part in zip(paths, parts):
+        if part.isEmpty():
+            raise ValueError(f"no entries in {path}")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def metadata(entries: DataFrame) -> DataFrame:
+    """(meta, graph): ``# ::name value`` lines as a map (the last one of a name counts), and the other lines."""
+    lines = F.split("entry", "\n")
+    pairs = F.transform(F.filter(lines, lambda x: x.startswith("# ::")), lambda x: F.struct(F.regexp_extract(x, r"^# ::(\S+)", 1).alias("key"), F.trim(F.regexp_replace(x, r"^# ::\S+", "")).alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 1_000), lambda q: q["key"] == p["key"]))
+    return entries.select(F.map_from_entries(last).alias("meta"), F.array_join(F.filter(lines, lambda x: ~x.startswith("#")), "\n").alias("graph"))
+
+
+def gold_alignments(entries: DataFrame, expected: int | None = None) -> DataFrame:
+    """(id, alignments) of entries with ``# ::id`` and ``# ::alignments``; another number than ``expected`` is an error."""
+    m = metadata(entries)
+    rows = m.select(F.split(F.element_at("meta", "id"), " ")[0].alias("id"), F.filter(F.split(F.coalesce(F.element_at("meta", "alignments"), F.lit("")), " "), lambda x: x != "").alias("alignments")).filter("id is not null")
+    if expected is not None and rows.count() != expected:
+        raise ValueError(f"expected {expected} entries")
+    return rows
+
+
+def chosen(rows: DataFrame, ids: list[str] | None = None, rules: list[str] | None = None, limit: int | None = None, id_col: str = "id", rule_col: str = "rule") -> DataFrame:
+    """Rows of an entry point's options: ids, rules, and the first ``limit`` by id."""
+    rows = rows.filter(F.col(id_col).isin(ids)) if ids else rows
+    rows = rows.filter(F.col(rule_col).isin(rules)) if rules else rows
+    return rows.orderBy(id_col).limit(limit) if limit is not None else rows
