@@ -148,3 +148,22 @@ def literal_closure(implications: DataFrame, chain: bool = True) -> DataFrame:
         if fresh.isEmpty():
             return known
         known = cut(known.unionByName(fresh))
+
+
+def node_features(graphs: DataFrame) -> DataFrame:
+    """(graph_id, node, stem, numbered, negated, depth, n_args, parent_role) of packed graphs, for each node with a concept.
+
+    Depth is the least number of edges from the top, found by as many steps as the graph has
+    edges at most; a node out of reach has -1. The parent's role is that of the first edge to the node."""
+    g = F.col("g")
+    ahead = lambda seen: F.transform(F.filter(g, lambda t: F.array_contains(seen, t["source"]) & (t["role"] != ":instance")), lambda t: t["target"])
+    grow = lambda rings, _: F.concat(rings, F.array(F.array_union(F.element_at(rings, -1), ahead(F.element_at(rings, -1)))))
+    rings = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(g), F.lit(1))), F.array(F.array("top")), grow)
+    nodes = F.transform(F.filter(g, lambda t: t["role"] == ":instance"), lambda t: F.struct(t["source"].alias("node"), t["target"].alias("concept")))
+    rows = graphs.withColumn("rings", rings).select("graph_id", "g", "rings", F.explode(nodes).alias("n")).select("graph_id", "g", "rings", "n.*")
+    inside = F.size(F.filter("rings", lambda r: ~F.array_contains(r, F.col("node"))))
+    args = F.size(F.filter(g, lambda t: (t["source"] == F.col("node")) & t["role"].startswith(":ARG")))
+    parent = F.get(F.transform(F.filter(g, lambda t: (t["target"] == F.col("node")) & (t["role"] != ":instance")), lambda t: t["role"]), F.lit(0))
+    minus = F.exists(g, lambda t: (t["source"] == F.col("node")) & (t["role"] == ":polarity") & (t["target"] == "-"))
+    depth = F.when(inside < F.size("rings"), inside).otherwise(-1)
+    return rows.select("graph_id", "node", F.regexp_replace("concept", "-[0-9]+$", "").alias("stem"), F.col("concept").rlike("-[0-9]+$").alias("numbered"), minus.alias("negated"), depth.alias("depth"), args.alias("n_args"), parent.alias("parent_role"))

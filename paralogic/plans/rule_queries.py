@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dispatch, documents, lexicons as lex, rules
+from ..operators import dispatch, documents, graphs, lexicons as lex, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -144,3 +144,55 @@ union all select doc, 'document-creation-time', ':before', p || source from e
 union all select a.doc, a.p || a.source, ':overlap', b.p || b.source from e a join e b on a.no = b.no and a.n < b.n and b.n <= 8
 union all select substr(graph_id, 2)::bigint % 10, graph_id || '.e', ':' || word, graph_id || '.' || anchor from h where timed and word in ('after', 'before') and anchor is not null
 union all select doc, src, ':before', tgt from (select substr(graph_id, 2)::bigint % 10 doc, graph_id || '.e' src, lead(graph_id || '.e') over (partition by substr(graph_id, 2)::bigint % 10 order by substr(graph_id, 2)::bigint) tgt from h) where tgt is not null"""
+
+# ------------------------------------------------------------------ nodes, links, chains
+
+QUERIES["node_features"] = lambda s, d: graphs.node_features(_packed(s, d)).withColumn("parent_role", F.coalesce("parent_role", F.lit("-")))
+SQL["node_features"] = f"""with {W} select graph_id, source node, regexp_replace(target, '-[0-9]+$', '') stem, regexp_matches(target, '-[0-9]+$') numbered, exists (select 1 from neg n where n.graph_id = w.graph_id and n.source = w.source) negated,
+  case source when 'e' then 0 when 'a' then 2 else 1 end depth, (select count(*) from w v where v.graph_id = w.graph_id and v.source = w.source and starts_with(v.role, ':ARG')) n_args,
+  coalesce((select arg_min(v.role, v.pos) from w v where v.graph_id = w.graph_id and v.target = w.source and v.role <> ':instance'), '-') parent_role from w where role = ':instance' and (source <> 'x' or exists (select 1 from h where h.graph_id = w.graph_id and a0 is not null))
+union all select graph_id, source, regexp_replace(target, '-[0-9]+$', ''), regexp_matches(target, '-[0-9]+$'), exists (select 1 from neg n where n.graph_id = w.graph_id and n.source = w.source), -1, 0, '-' from w where role = ':instance' and source = 'x' and exists (select 1 from h where h.graph_id = w.graph_id and a0 is null)"""
+
+
+def _linked(s: SparkSession, d: str) -> DataFrame:
+    t = varied(s, d)
+    links = t.filter("role = ':instance' and target = 'dog'").select("graph_id", F.lit(99).alias("pos"), "source", F.lit(":wiki").alias("role"), F.concat(F.lit("Q"), F.substring("graph_id", 2, 9)).alias("target"))
+    return t.unionByName(links)
+
+
+_LINKED = f"{W}, k as (select graph_id, source, role, target from w union all select graph_id, source, ':wiki', 'Q' || substr(graph_id, 2) from w where role = ':instance' and target = 'dog')"
+_FLAT = ("graph_id", "source", "role", "target")
+QUERIES["links_removed"] = lambda s, d: graphs.without_roles(_linked(s, d), ":wiki").select(*_FLAT)
+SQL["links_removed"] = f"with {_LINKED} select * from k where role <> ':wiki'"
+QUERIES["links_masked"] = lambda s, d: graphs.mask_links(_linked(s, d)).select(*_FLAT)
+SQL["links_masked"] = f"with {_LINKED} select graph_id, source, role, case when role = ':wiki' then '+' else target end target from k"
+QUERIES["roles_stripped"] = lambda s, d: graphs.without_roles(_linked(s, d), ":time", ":freq", ":duration", ":wiki", ":polarity").select(*_FLAT)
+SQL["roles_stripped"] = f"with {_LINKED} select * from k where role not in (':time', ':freq', ':duration', ':wiki', ':polarity')"
+QUERIES["tagged_inputs"] = lambda s, d: varied(s, d).filter("role = ':instance'").join(s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("graph_id"), "p_name"), "graph_id").select("graph_id", "source", F.concat("p_name", F.lit(" [SEP] target: "), "target").alias("input"))
+SQL["tagged_inputs"] = f"with {W} select graph_id, source, p_name || ' [SEP] target: ' || target as input from w join part on graph_id = 'w' || p_partkey where role = ':instance'"
+QUERIES["prompt_types"] = lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.explode(F.when(F.col("p_size") % 2 == 0, F.array(F.lit("commutative"), F.lit("de_morgan"))).otherwise(F.array(F.lit("implication")))).alias("rule")).filter(F.col("rule").isin("commutative", "implication"))
+SQL["prompt_types"] = "select p_partkey, r as rule from part, unnest(case when p_size % 2 = 0 then ['commutative', 'de_morgan'] else ['implication'] end) u(r) where r in ('commutative', 'implication')"
+
+
+def _facts(s: SparkSession, d: str) -> DataFrame:
+    """If <nation> then <region>; if <region> then earth."""
+    nation, region = s.read.parquet(f"{d}/nation.parquet"), s.read.parquet(f"{d}/region.parquet")
+    facts = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("n"), "n_nationkey").alias("graph_id"), F.col("n_name").alias("ante"), F.col("r_name").alias("cons"))
+    facts = facts.unionByName(region.select(F.concat(F.lit("r"), "r_regionkey").alias("graph_id"), F.col("r_name").alias("ante"), F.lit("earth").alias("cons")))
+    t = lambda pos, a, r, b: F.struct(F.lit(pos).alias("pos"), F.lit(a).alias("source"), F.lit(r).alias("role"), (F.lit(b) if isinstance(b, str) else b).alias("target"))
+    rows = F.array(t(0, "c", ":instance", "have-condition-91"), t(1, "c", ":ARG1", "x"), t(2, "x", ":instance", F.col("cons")), t(3, "c", ":ARG2", "y"), t(4, "y", ":instance", F.col("ante")))
+    return rules.pack(facts.select("graph_id", F.explode(rows).alias("t")).select("graph_id", "t.*"))
+
+
+QUERIES["transitive_chains"] = lambda s, d: rules.chains(_facts(s, d)).select("first", "second", F.round("similarity", 8).alias("similarity"))
+SQL["transitive_chains"] = "select 'n' || n_nationkey as first, 'r' || n_regionkey as second, 1.0::double similarity from nation"
+
+
+def _concluded(s: SparkSession, d: str) -> DataFrame:
+    packed = _facts(s, d)
+    made = rules.conclude(packed, rules.chains(packed))
+    return made.select("first", "second", F.posexplode("g").alias("pos", "t")).select("first", "second", "t.source", "t.role", "t.target")
+
+
+QUERIES["transitive_conclusions"] = _concluded
+SQL["transitive_conclusions"] = "select 'n' || n_nationkey as first, 'r' || n_regionkey as second, t.source, t.role, t.target from nation, lateral (values ('g2_x', ':instance', 'earth'), ('g2_x', ':condition', 'y'), ('y', ':instance', n_name)) t(source, role, target)"
