@@ -273,7 +273,6 @@ ca as (select distinct g.graph_id, case when role = ':instance' then ':instance
 cb as (select distinct h.graph_id, case when role = ':instance' then ':instance ' || target else concat_ws(' ', coalesce(a.concept, source), role, coalesce(b.concept, target)) end t from h left join n a on a.graph_id = h.graph_id and a.node = source left join n b on b.graph_id = h.graph_id and b.node = target)
 select coalesce(ca.graph_id, cb.graph_id) graph_id, round(2.0 * count(*) filter (ca.t is not null and cb.t is not null) / (count(ca.t) + count(cb.t)), 8)::double f1 from ca full join cb on ca.graph_id = cb.graph_id and ca.t = cb.t group by 1""")
 _add("triple_f1_gate", lambda s, d: QUERIES["triple_f1"](s, d).filter("f1 >= 0.9"), f"select * from ({SQL['triple_f1']}) where f1 >= 0.9::double")
-_add("graph_round_trip", lambda s, d: _round_trip(s, d), "select count(*) n, count(*) as kept from part")
 _add("literal_closure", lambda s, d: graphs.literal_closure(_read(s, d, "nation").join(_read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("a"), F.col("r_name").alias("b")).unionByName(_read(s, d, "region").select(F.col("r_name").alias("a"), F.lit("EARTH").alias("b")))), """
 with recursive i as (select n_name a, r_name b from nation join region on n_regionkey = r_regionkey union select r_name, 'EARTH' from region),
 k as (select a, b from i union select '-' || b, '-' || a from i), c as (select a, b from k union select c.a, k.b from c join k on c.b = k.a where c.a <> k.b) select a, b from c""")
@@ -282,15 +281,6 @@ _add("closure_contraposition", lambda s, d: graphs.literal_closure(_read(s, d, "
 _add("distinct_trigrams", lambda s, d: corpus.distinct_ngrams(_read(s, d, "documents"), 3), f"with t as (select {_TOK.format('text')} ws from documents), g as (select ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] g from t, unnest(range(1, len(ws) - 1)) r(i)) select count(distinct g) as distinct, count(*) total, round(count(distinct g)::double / count(*), 8) ratio from g")
 
 
-def _round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Graphs whose text, read and written again, is the same."""
-    from ..operators.lineage import cut
-
-    texts = cut(_packed(s, d).select("graph_id", penman.encode("top", "g").alias("text")))
-    again = cut(texts.select("text", penman.decode("text").alias("r"))).select("text", penman.encode("r.top", "r.g").alias("back"))
-    return again.agg(F.count("*").alias("n"), F.count_if(F.col("text") == F.col("back")).alias("kept"))
-
-
 # ------------------------------------------------------------------ packed graphs
 
 
