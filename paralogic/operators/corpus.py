@@ -37,14 +37,16 @@ def distinct_ngrams(docs: DataFrame, n: int) -> DataFrame:
     return grams.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("total")).withColumn("ratio", F.round(F.col("distinct") / F.greatest("total", F.lit(1)), 8))
 
 
-def similar_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, cls) of the classes of equal token sets, and pairs (cls_a, cls_b, alike) of
-    classes whose Jaccard reaches ``threshold``; a class is named by its smallest doc_id.
+def nearest_classes(docs: DataFrame, thresholds: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, cls) of the classes of equal token sets, and (cls, other0, other1, ...): for each threshold the
+    smallest class whose Jaccard with this one reaches it; a class is named by its smallest doc_id.
 
     Classes meet by prefix filter: sets as similar share one of their rarest
     size - ceil(t * size) + 1 tokens. A meeting counts if sizes and the tokens left
     after its place still allow the overlap; the first token two alike sets share
-    always does, so no pair is lost. Sets are stored once; texts are read once."""
+    always does, so no pair is lost. Pairs are reduced to the smallest partner on the
+    way, so a dense group of alike sets is never stored as pairs. Texts are read once."""
+    threshold = min(thresholds)
     sets = cut(docs.select("doc_id", F.array_sort(F.array_distinct(tokenize(F.col("text")))).alias("items")).filter(F.size("items") > 0))
     classes = cut(sets.groupBy("items").agg(F.min("doc_id").alias("cls")).withColumn("size", F.size("items")))
     tokens = classes.select("cls", "size", F.explode("items").alias("item"))
@@ -57,27 +59,22 @@ def similar_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataF
     sized = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
     met = a.join(b, "item").filter((F.col("cls_a") < F.col("cls_b")) & sized & (F.least("left_a", "left_b") >= needed))
     left, right = classes.select(F.col("cls").alias("cls_a"), F.col("items").alias("items_a")), classes.select(F.col("cls").alias("cls_b"), F.col("items").alias("items_b"))
-    scored = met.select("cls_a", "cls_b").distinct().join(left, "cls_a").join(right, "cls_b").select("cls_a", "cls_b", jaccard(F.col("items_a"), F.col("items_b")).alias("alike"))
-    return cut(sets.join(classes.select("items", "cls"), "items").select("doc_id", "cls")), cut(scored.filter(F.col("alike") >= threshold))
-
-
-def near_duplicate_ids(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id): documents whose token set has Jaccard >= threshold with some earlier one that is not empty."""
-    alike = pairs.filter(F.col("alike") >= threshold)
-    first = alike.select("cls_a", "cls_b").union(alike.select("cls_b", "cls_a")).groupBy(F.col("cls_a").alias("cls")).agg(F.min("cls_b").alias("other"))
-    # a copy follows its class's first; another class counts if its first document is earlier than this one
-    return members.join(first, "cls", "left").filter((F.col("doc_id") > F.col("cls")) | (F.col("other") < F.col("doc_id"))).select("doc_id")
+    scored = met.select("cls_a", "cls_b").distinct().join(left, "cls_a").join(right, "cls_b").select("cls_a", "cls_b", jaccard(F.col("items_a"), F.col("items_b")).alias("alike")).filter(F.col("alike") >= threshold)
+    sides = scored.select("alike", F.explode(F.array(F.struct(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")), F.struct(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other")))).alias("s")).select("alike", "s.*")
+    nearest = sides.groupBy("cls").agg(*(F.min(F.when(F.col("alike") >= t, F.col("other"))).alias(f"other{k}") for k, t in enumerate(thresholds)))
+    return sets.join(classes.select("items", "cls"), "items").select("doc_id", "cls"), nearest
 
 
 def near_duplicate_rate(docs: DataFrame, thresholds: tuple[float, ...] = (0.8, 0.7)) -> DataFrame:
-    """(threshold, n_dup, n_docs, rate); empty documents count in the denominator."""
+    """(threshold, n_dup, n_docs, rate): documents whose token set has Jaccard >= threshold with some earlier one that is
+    not empty; empty documents count in the denominator."""
     total = docs.agg(F.count("*").alias("n_docs"))
-    members, pairs = similar_classes(docs, min(thresholds))
-    out = None
-    for t in thresholds:
-        one = near_duplicate_ids(members, pairs, t).agg(F.count("*").alias("n_dup")).crossJoin(total).select(F.lit(t).alias("threshold"), "n_dup", "n_docs", F.round(F.col("n_dup") / F.greatest("n_docs", F.lit(1)), 8).alias("rate"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    members, nearest = nearest_classes(docs, thresholds)
+    # a copy follows its class's first; another class counts if its first document is earlier than this one
+    hit = lambda k: F.coalesce((F.col("doc_id") > F.col("cls")) | (F.col(f"other{k}") < F.col("doc_id")), F.lit(False))
+    counts = members.join(nearest, "cls", "left").agg(*(F.count_if(hit(k)).alias(f"n{k}") for k in range(len(thresholds))))
+    rows = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"n{k}").alias("n_dup")) for k, t in enumerate(thresholds))))
+    return counts.join(F.broadcast(total)).select("n_docs", rows.alias("r")).select("r.threshold", "r.n_dup", "n_docs", F.round(F.col("r.n_dup") / F.greatest("n_docs", F.lit(1)), 8).alias("rate"))
 
 
 def exact_rank(rows: DataFrame, key: Column, *ties: str) -> DataFrame:
