@@ -219,18 +219,40 @@ def read_shard(path: str, start: int = 0) -> Iterator[pa.RecordBatch]:
 
 
 class Shard:
-    """Random access to the sequences of one local shard, without copies."""
+    """Random access to the sequences of one local shard, without copies and without an index of its batches.
+
+    Batches of one size are laid out alike, so batch b begins b times the first one's
+    length behind it. Opening a shard reads its schema, its first and its last batch."""
 
     def __init__(self, path: str) -> None:
-        self.batches = [b for b in read_shard(path)]
-        self.size = max((b.num_rows for b in self.batches), default=1)
+        files, at = pafs.FileSystem.from_uri(path)
+        self.source = pa.memory_map(at)
+        reader = ipc.open_stream(self.source)
+        self.schema, self.first = reader.schema, self.source.tell()
+        left = self.source.size() - self.first
+        try:
+            self.size, self.step = reader.read_next_batch().num_rows, self.source.tell() - self.first
+        except StopIteration:
+            self.size, self.step = 1, max(1, left)
+            self.total = 0
+            return
+        whole, rest = divmod(left, self.step)
+        self.total = whole * self.size
+        if rest > 8:  # more than the mark of the stream's end: a last, shorter batch
+            self.total += self._batch(whole).num_rows
+
+    def _batch(self, b: int) -> pa.RecordBatch:
+        self.source.seek(self.first + b * self.step)
+        return ipc.read_record_batch(ipc.read_message(self.source), self.schema)
 
     def __len__(self) -> int:
-        return sum(b.num_rows for b in self.batches)
+        return self.total
 
     def __getitem__(self, k: int) -> tuple[np.ndarray, pa.Array]:
         """(ids, mask) of sequence k; ids is a view of the file."""
-        batch, row = self.batches[k // self.size], k % self.size
+        if not 0 <= k < self.total:
+            raise IndexError(k)
+        batch, row = self._batch(k // self.size), k % self.size
         ids, mask = batch.column(0), batch.column(1)
         n = ids.type.list_size
         return ids.flatten()[row * n : (row + 1) * n].to_numpy(), mask.flatten()[row * n : (row + 1) * n]
