@@ -175,6 +175,15 @@ class Index:
         found = np.bincount(cell, self.top[entry], halves * self.ranges).reshape(halves, self.ranges)
         return found + bound[:, None]
 
+    @property
+    def part_terms(self) -> list[dict[int, float]]:
+        """Of each part the weights of its terms: the index read the other way."""
+        rows: list[dict[int, float]] = [{} for _ in self.owner]
+        for term, (parts, weights) in enumerate(self.lists):
+            for p, v in zip(parts, weights):
+                rows[p][term] = v
+        return rows
+
     def wand(self, terms: set[int], first: int, stop: int, threshold: float) -> Iterator[tuple[int, float]]:
         """(part, score) of the parts in [first, stop) whose score with these words reaches the threshold."""
         least, block = threshold - 1e-9, self.block
