@@ -3,11 +3,11 @@ intermediate tables and joins that choose their strategy by a checked size."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: the words of every operator here are runs of other characters.
@@ -24,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where none is named."""
+    """The folder all executors share. A local one is made only where none is named
+    and the master is local; on a cluster that would lose files, so it is an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="shared-")
     context.setCheckpointDir(own)
     return own
@@ -49,11 +52,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def local_path(uri: str) -> str | None:
-    """The path of a file: URI or a plain path; None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return None if "://" in uri else os.path.abspath(uri)
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``stored``; only for tables that nothing reads any more."""
+    spark = df.sparkSession
+    inside = shared_dir(spark).split(":", 1)[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":", 1)[-1].lstrip("/").startswith(inside + "/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or it with underscores where ``df`` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def with_place(df: DataFrame, name: str) -> DataFrame:
+    """Add a long that tells the rows of a table of files apart, and is the same at every
+    reading: the number of the row's file, times 2 ** 40, plus its place in the file.
+
+    A table that does not come from files as it is gets stored first."""
+    try:
+        files = cut(df.select(F.col("_metadata.file_path").alias("_path")).distinct())
+        df.select("_metadata.row_index").schema
+    except AnalysisException:
+        return with_place(stored(df, "rows"), name)
+    path, at = free_name(df, "_path"), free_name(df, f"{name}_at")
+    order = Window.orderBy("_path")  # a row for each file
+    numbered = cut(files.select(F.col("_path").alias(path), ((F.row_number().over(order) - 1).cast("long") * F.lit(1 << 40)).alias(name)))
+    rows = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(at))
+    few = numbered.count() <= BROADCAST_ROWS
+    joined = rows.join(F.broadcast(numbered) if few else numbered, path)
+    return joined.select(*df.columns, (F.col(name) + F.col(at)).alias(name))
 
 
 def attach(left: DataFrame, small: DataFrame, keys: list[str], rows: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:

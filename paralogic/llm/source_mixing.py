@@ -13,21 +13,24 @@ once: sources in order of cap over weight fill up one after the other).
 Scale: native DataFrame functions only. No window runs over a source's documents:
 keys are cut into 4096 buckets by their distribution, bucket sums are
 pre-aggregated, and the one bucket of each source that holds its budget's end is
-cut again; only documents of one bucket in 16 million are ordered one by one. So
-a source with a third of all rows costs no task more than another.
+cut again; only documents of one bucket in 16 million are ordered one by one. The
+rank of a source's last document is all the rows need, so they decide by their own
+columns and a table of sources. So a source with a third of all rows costs no task
+more than another. Targets are solved in one task over a row a source (a few dozen
+bytes each: a million sources still fit it).
 
 Defined results: null texts and texts without a word have size 0 and are taken 0
 times; null sources are a source, the last one; ties of keys are broken by doc_id,
-then size; repeated rows are drawn together, row by row; an empty table gives no
-rows; other columns are ignored (or kept, by ``mixed``).
+size and row; repeated rows are drawn together, row by row; an empty table gives no
+rows; other columns are ignored (kept by ``repeated``, whatever their names).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, attach, cut, stored, table
+from .common import WORD, attach, cut, free_name, table, with_place
 
 WEIGHTS = (3, 1, 2)
 RATIO = 1.5
@@ -37,14 +40,19 @@ BUCKETS = 4096
 _ODD = "#*$%&|<>0123456789"
 
 
-def sized(docs: DataFrame, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, key, *carry) of every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def sized(docs: DataFrame, seed: str = SEED, text_col: str = "text") -> DataFrame:
+    """(doc_id, source, size, key, row) of every row of ``docs``, which has a column ``row``: columns of the row alone."""
+    return docs.select(*key_columns(seed, text_col), "row")
+
+
+def key_columns(seed: str = SEED, text_col: str = "text") -> list[Column]:
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     weight = 0.25 + 0.75 * F.length(F.translate(text, _ODD, "")) / F.greatest(F.length(text), F.lit(1))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), weight.alias("_w"), *carry)
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), "source", F.col("size").cast("string"))), 1, 13), 16, 10).cast("double")
-    return rows.withColumn("key", -F.log((drawn + 1) / F.lit(float(2**52 + 2))) / F.col("_w")).drop("_w")
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), doc_id.cast("string"), source, size.cast("string"))), 1, 13), 16, 10).cast("double")
+    key = -F.log((drawn + 1) / F.lit(float(2**52 + 2))) / weight
+    return [doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), key.alias("key")]
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, most: int = MOST) -> DataFrame:
@@ -71,31 +79,53 @@ def _crossing(sums: DataFrame, goals: DataFrame, level: int) -> DataFrame:
     return cut(attach(goals, cut(hit.groupBy("source").agg(F.min(b).alias(b), F.min("_from").alias(before))), ["source"]))
 
 
-def mixed(docs: DataFrame, seed: str = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, *carry) of every row of ``docs``."""
-    rows = sized(docs, seed, carry)
-    place = (1 - F.exp(-F.col("key"))) * BUCKETS
-    rows = rows.withColumn("b1", F.floor(place).cast("int")).withColumn("b2", F.floor((place - F.floor(place)) * BUCKETS).cast("int"))
-    rows = stored(rows, "sized") if carry else cut(rows)  # carried columns are written once and pruned by the sums
+def place(level: int) -> Column:
+    """Bucket of a key: by its distribution, and on level 2 within the bucket of level 1."""
+    at = (1 - F.exp(-F.col("key"))) * BUCKETS
+    return (F.floor(at) if level == 1 else F.floor((at - F.floor(at)) * BUCKETS)).cast("int")
+
+
+def rank() -> Column:
+    """The order in which documents of a source are drawn; a row number ends all ties."""
+    return F.struct("key", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "size", "row")
+
+
+def budgets(rows: DataFrame) -> DataFrame:
+    """(source, source_size, target, epochs, every, last): a row a source, checkpointed.
+
+    ``last`` is the rank of the last document of the fractional selection, ``every``
+    says that all (true) or none (false) of the source are in it. ``rows`` is read
+    several times: it should be a checkpoint."""
     goals = cut(targets(rows))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = goals.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    rows = rows.withColumn("b1", place(1)).withColumn("b2", place(2))
     goals = _crossing(rows.groupBy("source", "b1").agg(F.sum("size").alias("words")), goals, 1)
     first = goals.select("source", F.col("b1").alias("at1"))
-    inside = attach(rows.select("source", "b1", "b2", "size"), first, ["source"]).filter("b1 = at1")
+    inside = attach(rows, first, ["source"]).filter("b1 = at1")
     goals = _crossing(inside.groupBy("source", "b2").agg(F.sum("size").alias("words")), goals, 2)
-    ends = goals.withColumnsRenamed({"b1": "at1", "b2": "at2"}).drop("before1")
-    joined = attach(rows, cut(ends), ["source"])
-    # no bucket crosses where the rest covers all or nothing is left of the source
-    state = F.when(F.col("at1").isNull(), F.when(F.col("rest") > 0, 1).otherwise(0)).when(F.col("b1") != F.col("at1"), (F.col("b1") < F.col("at1")).cast("int"))
-    state = F.coalesce(state, F.when(F.col("at2").isNull(), 0).when(F.col("b2") != F.col("at2"), (F.col("b2") < F.col("at2")).cast("int")))
-    joined = joined.withColumn("picked", state)
-    calm = joined.filter(F.col("picked").isNotNull())
-    order = Window.partitionBy("source").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = joined.filter(F.col("picked").isNull()).withColumn("_upto", F.col("before2") + F.sum("size").over(order))
-    edge = edge.withColumn("picked", (2 * F.col("_upto") - F.col("size") <= 2 * F.col("rest")).cast("int")).drop("_upto")
-    taken = F.col("size") * (F.col("epochs") + F.col("picked"))
-    return calm.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *carry)
+    ends = cut(goals.select("source", "rest", F.col("b1").alias("at1"), F.col("b2").alias("at2"), "before2"))
+    edge = attach(rows, ends, ["source"]).filter("b1 = at1 and b2 = at2")
+    upto = F.col("before2") + F.sum("size").over(Window.partitionBy("source").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    picked = edge.withColumn("rank", rank()).withColumn("_upto", upto).filter(2 * F.col("_upto") - F.col("size") <= 2 * F.col("rest"))
+    ranks = picked.groupBy("source").agg(F.max("rank").alias("last"))
+    found = attach(goals, cut(ranks), ["source"])
+    every = F.when(F.col("b1").isNull(), F.col("rest") > 0)
+    return cut(found.select("source", "source_size", "target", "epochs", every.alias("every"), F.col("b1").alias("at1"), F.coalesce("b2", F.lit(0)).alias("at2"), "last"))
+
+
+def times() -> Column:
+    """How often a row with the columns of ``budgets`` and its own rank is drawn."""
+    before = (place(1) < F.col("at1")) | (place(1) == F.col("at1")) & (place(2) < F.col("at2"))
+    inside = (place(1) == F.col("at1")) & (place(2) == F.col("at2")) & F.coalesce(rank() <= F.col("last"), F.lit(False))
+    return F.col("epochs") + F.coalesce("every", before | inside).cast("long")
+
+
+def mixed(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) of every row of ``docs``."""
+    rows = cut(sized(docs.withColumn("row", F.monotonically_increasing_id()), seed))
+    joined = attach(rows, budgets(rows), ["source"])
+    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times()).alias("taken"))
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +133,24 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def repeated(docs: DataFrame, seed: str = SEED) -> DataFrame:
+    """Each row of ``docs`` as often as the mix takes it (0 times: it goes, and so do texts
+    without a word), with all its columns.
+
+    The small columns are checkpointed for the budgets; the rows themselves are read
+    once more and take their count from their own columns, so no copy of the texts
+    is written and nothing of them shuffled."""
+    place_name, whole = free_name(docs, "_row"), free_name(docs, "_whole")
+    placed = with_place(docs, place_name)
+    rows = cut(sized(placed.select("doc_id", "source", "text", F.col(place_name).alias("row")), seed))
+    packed = placed.select(F.struct(*docs.columns).alias(whole), *key_columns(seed), F.col(place_name).alias("row"))
+    drawn = attach(packed, budgets(rows), ["source"]).withColumn("_times", F.when(F.col("size") > 0, times()).otherwise(0).cast("int"))
+    return drawn.select(whole, F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(f"{whole}.*")
+
+
 def mix_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mix takes it (0 times: it goes); all columns stay."""
-    found = mixed(docs.withColumn("_row", F.struct(*docs.columns)), carry=("_row",))
-    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    return found.withColumn("_times", F.explode(F.array_repeat(F.lit(1), times))).select("_row.*")
+    """Pipeline stage: ``repeated``; all columns stay."""
+    return repeated(docs)
 
 
 SQL = f"""
