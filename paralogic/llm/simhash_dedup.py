@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, stored, table
+from .common import cut, discard, free_name, stored, table, with_place
 from .shingle_links import frequent_shingles, linked_rows, prefixes
 
 BITS = 64
@@ -332,15 +332,20 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents link at a Jaccard coefficient of 0.8 or more of their five-word
     shingles (``shingle_links``); op7's three words and 3 bits do not bind here.
-    Rows are told apart by a number, so of repeated rows one stays. The numbered
-    table is written first: numbers made anew could differ after an executor is
-    lost. Only numbers of kept rows meet the texts again, in one join."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    frequent = frequent_shingles(numbered)
-    rows = stored(prefixes(numbered, frequent), "prefixes")
+    Rows are told apart by their place in the stored input, which stays the same
+    after an executor is lost; of repeated rows one stays. No copy of the texts is
+    written: only the numbers of kept rows meet them again, in one join."""
+    name = free_name(docs, "_row")
+    placed = with_place(docs, name)
+    texts = placed.select("doc_id", F.col(name).alias("_row"), "text")
+    frequent = frequent_shingles(texts)
+    rows = stored(prefixes(texts, frequent), "prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = cut(rows.groupBy("digest").agg(first).select("first", F.col("first.row").alias("row")))
-    roots = linked_rows(rows.join(distinct.select("row"), "row", "left_semi").select("row", "size", "known", "keys"), numbered, frequent, components)
+    once = stored(rows.join(distinct.select("row"), "row", "left_semi").select("row", "size", "known", "keys"), "distinct")
+    discard(rows)
+    roots = linked_rows(once, texts, frequent, components)
     named = distinct.join(roots, "row", "left").groupBy(F.coalesce("root", "row")).agg(F.min("first").alias("first"))
-    kept = cut(named.select(F.col("first.row").alias("_row")))
-    return numbered.join(kept, "_row", "left_semi").drop("_row")
+    kept = cut(named.select(F.col("first.row").alias(name)))
+    discard(once)
+    return placed.join(kept, name, "left_semi").select(*docs.columns)
