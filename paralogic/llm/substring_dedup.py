@@ -150,14 +150,14 @@ def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
     placed = with_place(docs, name)
     found = repeated_spans(placed.select("doc_id", F.col(name).alias("row"), "text"), span).select(F.col("row").alias(name), F.col("spans").alias(cuts))
     joined = placed.join(found, name, "left").select(*docs.columns, cuts)
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(at), batch.column(len(docs.columns)))
+            pairs = zip(batch.column(at), batch.column(len(names)))
             texts = [without_spans(t.as_py().encode(), [(s["start"], s["stop"]) for s in c.as_py()]).decode() if t.is_valid and c.is_valid else t.as_py() for t, c in pairs]
-            columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, docs.schema)
 
