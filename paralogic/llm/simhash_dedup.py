@@ -224,37 +224,39 @@ def _mark(rows: DataFrame, large: DataFrame, keys: list[str], bound: int = 20_00
 BUCKET = ["part", "key", "sub", "subkey", "cell"]
 
 
-def star(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def star(members: np.ndarray, radius: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, the first one that reaches it inside this bucket) of its linking pairs.
 
-    A breadth-first search: each member is compared once with those not reached yet."""
+    A breadth-first search: each member is compared once with those not reached yet.
+    With ``direct`` an edge's second end is the one it was compared with, within the radius itself."""
     rest = np.unique(members).view(np.uint64)
     ends, roots = [], []
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
         queue = [root]
         while queue and len(rest):
-            near = np.bitwise_count(rest ^ queue.pop()) <= radius
+            one = queue.pop()
+            near = np.bitwise_count(rest ^ one) <= radius
             if near.any():
                 found = rest[near]
                 rest = rest[~near]
                 queue.extend(found)
                 ends.append(found)
-                roots.append(np.full(len(found), root))
+                roots.append(np.full(len(found), one if direct else root))
     if not ends:
         return members[:0], members[:0]
     return np.concatenate(ends).view(np.int64), np.concatenate(roots).view(np.int64)
 
 
-def links(buckets: DataFrame, radius: int) -> DataFrame:
-    """(a, b): star edges of every bucket; buckets meet in a partition, sorted, and stream through."""
+def links(buckets: DataFrame, radius: int, direct: bool = False) -> DataFrame:
+    """(a, b): edges of every bucket (``star``); buckets meet in a partition, sorted, and stream through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.empty((0, len(BUCKET)), np.int64)
         fp = np.empty(0, np.int64)
 
         def edges(fp: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-            found = [star(fp[a:b], radius) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
+            found = [star(fp[a:b], radius, direct) for a, b in zip(cuts[:-1], cuts[1:]) if b - a > 1]
             left = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.int64)
             right = np.concatenate([y for _, y in found]) if found else np.empty(0, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
@@ -327,24 +329,45 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits().alias("fingerprint"), "component_id")
 
 
+#: Differing bits up to which the pipeline's stage looks for near copies by fingerprint.
+STAGE_RADIUS = 6
+
+
+def near_rows(once: DataFrame, radius: int = STAGE_RADIUS, hot: int = HOT) -> DataFrame:
+    """(a, b): pairs of rows (row, fp) with equal fingerprints or fingerprints within the radius, as spanning edges
+    of each probe key's group: the row of a fingerprint is its first, its other rows follow that one."""
+    fps = cut(once.groupBy("fp").agg(F.min("row").alias("first")))
+    same = once.join(fps, "fp").filter("row > first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    n = fps.count()
+    if n < 2:
+        return same
+    planned = plan(fps.select("fp"), n, radius)
+    found = cut(links(split_hot(probes(fps.select("fp"), planned), planned, radius, hot), radius, True).distinct())
+    side = lambda c: fps.select(F.col("fp").alias(c), F.col("first").alias(f"row_{c}"))
+    met = found.join(side("a"), "a").join(side("b"), "b").select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    return same.union(met).distinct()
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one of smallest doc_id; all columns stay.
 
     Documents link at a Jaccard coefficient of 0.8 or more of their five-word
-    shingles (``shingle_links``); op7's three words and 3 bits do not bind here.
+    shingles; op7's three words and 3 bits do not bind here. SimHashes of these
+    shingles, probed by the generalised pigeonhole principle, find near copies, and
+    each pair found is verified; links between texts whose fingerprints differ in
+    more than ``STAGE_RADIUS`` bits follow by exact prefixes (``shingle_links``).
     Rows are told apart by their place in the stored input, which stays the same
     after an executor is lost; of repeated rows one stays. No copy of the texts is
     written: only the numbers of kept rows meet them again, in one join."""
     name = free_name(docs, "_row")
     placed = with_place(docs, name)
     texts = placed.select("doc_id", F.col(name).alias("_row"), "text")
-    frequent = frequent_shingles(texts)
-    rows = stored(prefixes(texts, frequent), "prefixes")
+    rows = stored(prefixes(texts, frequent_shingles(texts)), "prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = cut(rows.groupBy("digest").agg(first).select("first", F.col("first.row").alias("row")))
-    once = stored(rows.join(distinct.select("row"), "row", "left_semi").select("row", "size", "known", "keys"), "distinct")
+    once = stored(rows.join(distinct.select("row"), "row", "left_semi").select("row", "fp", "size", "known", "keys"), "distinct")
     discard(rows)
-    roots = linked_rows(once, texts, frequent, components)
+    roots = linked_rows(once, texts, near_rows(once.select("row", "fp")), components)
     named = distinct.join(roots, "row", "left").groupBy(F.coalesce("root", "row")).agg(F.min("first").alias("first"))
     kept = cut(named.select(F.col("first.row").alias(name)))
     discard(once)
