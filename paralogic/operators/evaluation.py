@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import f1
 from ..functions.strings import frame, without_sense
 from ..functions.text import zero_guard
+from .lineage import dealt
 from .verdicts import EQ, NEQ
 
 # ---- fixed values: what a relation says when its ends are exchanged
@@ -83,18 +84,18 @@ def subscores(gold: DataFrame, pred: DataFrame) -> DataFrame:
 
     def sets(triples: DataFrame) -> DataFrame:
         c = triples.filter("role = ':instance'").select("graph_id", F.col("source").alias("node"), F.col("target").alias("concept"))
-        of = lambda role, name: triples.filter(F.col("role") == role).select("graph_id", F.col("source").alias("node"), F.col("target").alias("t")).join(c, ["graph_id", "node"]).select("graph_id", F.lit(name).alias("score"), F.concat_ws(" ", "concept", "t").alias("item"))
+        of = lambda role, name: triples.filter(F.col("role") == role).select("graph_id", F.col("source").alias("node"), F.col("target").alias("t")).join(dealt(c), ["graph_id", "node"]).select("graph_id", F.lit(name).alias("score"), F.concat_ws(" ", "concept", "t").alias("item"))
         plain = lambda name, item, keep: c.filter(keep).select("graph_id", F.lit(name).alias("score"), item.alias("item"))
         numbered = frame(F.col("concept"))["sense"].isNotNull()
         left, right = c.withColumnsRenamed({"node": "source", "concept": "cs"}), c.withColumnsRenamed({"node": "target", "concept": "ct"})
-        edges = triples.filter("role <> ':instance'").join(left, ["graph_id", "source"], "left").join(right, ["graph_id", "target"], "left")
+        edges = triples.filter("role <> ':instance'").join(dealt(left), ["graph_id", "source"], "left").join(dealt(right), ["graph_id", "target"], "left")
         every = edges.select("graph_id", F.lit("ignore_vars").alias("score"), F.concat_ws(" ", F.coalesce("cs", "source"), "role", F.coalesce("ct", "target")).alias("item"))
         out = plain("concepts", F.col("concept"), F.lit(True))
         for more in (plain("frames", F.col("concept"), numbered), plain("non_sense_frames", without_sense(F.col("concept")), numbered), of(":polarity", "negations"), of(":wiki", "wikification"), of(":name", "named_entities"), every):
             out = out.unionByName(more)
         return out.distinct()
 
-    both = sets(gold).withColumn("g", F.lit(1)).join(sets(pred).withColumn("p", F.lit(1)), ["graph_id", "score", "item"], "full")
+    both = sets(gold).withColumn("g", F.lit(1)).join(dealt(sets(pred).withColumn("p", F.lit(1))), ["graph_id", "score", "item"], "full")
     sums = both.groupBy("score").agg(F.count(F.when(F.col("g").isNotNull() & F.col("p").isNotNull(), 1)).alias("matched"), F.count("p").alias("n_pred"), F.count("g").alias("n_gold"))
     return sums.withColumn("f1", F.round(f1(F.col("matched"), F.col("n_pred") - F.col("matched"), F.col("n_gold") - F.col("matched")), 8))
 

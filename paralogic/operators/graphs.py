@@ -2,14 +2,14 @@
 rewriting and comparison of graphs as joins and aggregates.
 
 A concept is a triple of role ``:instance``. Rewrites never touch other graphs' rows,
-so all joins carry graph_id and partition by it."""
+so all joins carry graph_id and are dealt by it, never broadcast (``lineage.dealt``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, dealt
 
 CONDITION, CONNECTIVES = "have-condition-91", ("and", "or")
 
@@ -29,7 +29,7 @@ def polarity_gate(expected: DataFrame, got: DataFrame) -> DataFrame:
 
     Parity first, then a lost negation, then a difference of two or more."""
     count = lambda df, name: df.groupBy("graph_id").agg(F.count_if((F.col("role") == ":polarity") & (F.col("target") == "-")).alias(name))
-    both = count(expected, "expected").join(count(got, "got"), "graph_id")
+    both = count(expected, "expected").join(dealt(count(got, "got")), "graph_id")
     e, g = F.col("expected"), F.col("got")
     return both.withColumn("reason", F.when(e % 2 != g % 2, "parity").when((e > 0) & (g == 0), "lost").when(F.abs(e - g) >= 2, "difference"))
 
@@ -39,14 +39,14 @@ def canonical(triples: DataFrame) -> DataFrame:
     c = concepts(triples)
     left = c.withColumnsRenamed({"node": "source", "concept": "cs"})
     right = c.withColumnsRenamed({"node": "target", "concept": "ct"})
-    named = triples.filter("role <> ':instance'").join(left, ["graph_id", "source"], "left").join(right, ["graph_id", "target"], "left")
+    named = triples.filter("role <> ':instance'").join(dealt(left), ["graph_id", "source"], "left").join(dealt(right), ["graph_id", "target"], "left")
     own = c.select("graph_id", F.concat_ws(" ", F.lit(":instance"), "concept").alias("triple"))
     return named.select("graph_id", F.concat_ws(" ", F.coalesce("cs", "source"), "role", F.coalesce("ct", "target")).alias("triple")).unionByName(own).distinct()
 
 
 def triple_f1(a: DataFrame, b: DataFrame) -> DataFrame:
     """(graph_id, f1) of the canonical triple sets of equal ids."""
-    both = canonical(a).withColumn("a", F.lit(1)).join(canonical(b).withColumn("b", F.lit(1)), ["graph_id", "triple"], "full")
+    both = canonical(a).withColumn("a", F.lit(1)).join(dealt(canonical(b).withColumn("b", F.lit(1))), ["graph_id", "triple"], "full")
     sums = both.groupBy("graph_id").agg(F.count("a").alias("na"), F.count("b").alias("nb"), F.count(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), 1)).alias("hit"))
     return sums.select("graph_id", F.round(2.0 * F.col("hit") / (F.col("na") + F.col("nb")), 8).alias("f1"))
 
@@ -56,7 +56,7 @@ def _pair(triples: DataFrame, nodes: DataFrame, first: str, second: str) -> Data
     edges = triples.filter(F.col("role").isin(first, second)).groupBy("graph_id", F.col("source").alias("node")).agg(
         F.count_if(F.col("role") == first).alias("na"), F.count_if(F.col("role") == second).alias("nb"), F.max(F.when(F.col("role") == first, F.col("target"))).alias("a"), F.max(F.when(F.col("role") == second, F.col("target"))).alias("b")
     )
-    return nodes.join(edges.filter("na = 1 and nb = 1"), ["graph_id", "node"]).select("graph_id", "node", "a", "b")
+    return nodes.join(dealt(edges.filter("na = 1 and nb = 1")), ["graph_id", "node"]).select("graph_id", "node", "a", "b")
 
 
 def detect(triples: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def detect(triples: DataFrame) -> DataFrame:
         "contraposition": condition.select("graph_id", "node").unionByName(edges),
         "implication": condition.select("graph_id", "node").unionByName(_pair(triples, c.filter("concept = 'or'"), ":op1", ":op2").select("graph_id", "node")).unionByName(edges),
         "commutative": both.select("graph_id", "node"),
-        "de_morgan": both.join(negated(triples), ["graph_id", "node"], "left_semi").select("graph_id", "node"),
+        "de_morgan": both.join(dealt(negated(triples)), ["graph_id", "node"], "left_semi").select("graph_id", "node"),
         "double_negation": c.select("graph_id", "node"),
     }
     out = None
@@ -83,14 +83,15 @@ def detect(triples: DataFrame) -> DataFrame:
 def toggle(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     """Take the negative polarity from ``nodes`` (graph_id, node) that have it, give it to the others."""
     had = negated(triples)
-    kept = triples.join(nodes.join(had, ["graph_id", "node"], "left_semi").select("graph_id", F.col("node").alias("source"), F.lit(":polarity").alias("role")), ["graph_id", "source", "role"], "left_anti")
-    new = nodes.join(had, ["graph_id", "node"], "left_anti").distinct().select("graph_id", F.lit(1_000_000).alias("pos"), F.col("node").alias("source"), F.lit(":polarity").alias("role"), F.lit("-").alias("target"))
+    gone = nodes.join(dealt(had), ["graph_id", "node"], "left_semi").select("graph_id", F.col("node").alias("source"), F.lit(":polarity").alias("role"))
+    kept = triples.join(dealt(gone), ["graph_id", "source", "role"], "left_anti")
+    new = nodes.join(dealt(had), ["graph_id", "node"], "left_anti").distinct().select("graph_id", F.lit(1_000_000).alias("pos"), F.col("node").alias("source"), F.lit(":polarity").alias("role"), F.lit("-").alias("target"))
     return kept.select(*triples.columns).unionByName(new.select(*triples.columns))
 
 
 def swap_roles(triples: DataFrame, nodes: DataFrame, first: str, second: str) -> DataFrame:
     """Exchange two roles of ``nodes``."""
-    marked = triples.join(nodes.select("graph_id", F.col("node").alias("source")).distinct().withColumn("_hit", F.lit(True)), ["graph_id", "source"], "left")
+    marked = triples.join(dealt(nodes.select("graph_id", F.col("node").alias("source")).distinct().withColumn("_hit", F.lit(True))), ["graph_id", "source"], "left")
     role = F.when(F.col("_hit") & (F.col("role") == first), second).when(F.col("_hit") & (F.col("role") == second), first).otherwise(F.col("role"))
     return marked.withColumn("role", role).select(*triples.columns)
 
@@ -112,8 +113,8 @@ def contraposition(triples: DataFrame, positive: bool = True) -> DataFrame:
 
 def de_morgan(triples: DataFrame, positive: bool = True) -> DataFrame:
     """Of negated connectives: drop the negation, exchange and / or, toggle both operands (positive only)."""
-    both = _pair(triples, concepts(triples).filter(F.col("concept").isin(*CONNECTIVES)), ":op1", ":op2").join(negated(triples), ["graph_id", "node"], "left_semi")
-    marked = triples.join(both.select("graph_id", F.col("node").alias("source")).withColumn("_hit", F.lit(True)), ["graph_id", "source"], "left")
+    both = _pair(triples, concepts(triples).filter(F.col("concept").isin(*CONNECTIVES)), ":op1", ":op2").join(dealt(negated(triples)), ["graph_id", "node"], "left_semi")
+    marked = triples.join(dealt(both.select("graph_id", F.col("node").alias("source")).withColumn("_hit", F.lit(True))), ["graph_id", "source"], "left")
     flipped = F.when(F.col("_hit") & (F.col("role") == ":instance"), F.when(F.col("target") == "and", "or").otherwise("and")).otherwise(F.col("target"))
     changed = marked.withColumn("target", flipped).filter(~(F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("role") == ":polarity"))).select(*triples.columns)
     sides = both.select("graph_id", F.col("a").alias("node")).unionByName(both.select("graph_id", F.col("b").alias("node")))
