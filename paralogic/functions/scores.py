@@ -83,11 +83,13 @@ def rouge_n(target: Column, made: Column, n: int) -> Column:
 
 
 def reading_ease(n_words: Column, n_sentences: Column, n_letters: Column, n_syllables: Column) -> Column:
-    """Readability indices that counts alone decide, rounded; zeros without words or sentences."""
+    """Readability indices that counts alone decide, rounded; zeros without words or sentences.
+
+    Rounded as a hundredfold double, so 8.075, which is less as a double, becomes 8.07: ``F.round(x, 2)`` rounds its decimal digits."""
     per, short = zero_guard(n_words, n_sentences), zero_guard(n_syllables, n_words)
     letters = zero_guard(n_letters, n_words)
     some = (n_words > 0) & (n_sentences > 0)
-    one = lambda x: F.when(some, F.round(x, 2)).otherwise(0.0)
+    one = lambda x: F.when(some, F.round(x * 100) / 100).otherwise(0.0)
     return F.struct(
         one(206.835 - 1.015 * per - 84.6 * short).alias("flesch"),
         one(0.39 * per + 11.8 * short - 15.59).alias("flesch_kincaid"),

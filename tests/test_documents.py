@@ -83,3 +83,9 @@ def test_sentence_bleu(spark):
     df = spark.createDataFrame([(a.split(), b.split()) for a, b in pairs], "a array<string>, b array<string>")
     got = [r["s"] for r in df.select(scores.sentence_bleu(F.col("a"), F.col("b")).alias("s")).collect()]
     assert got == pytest.approx([bleu(a.split(), b.split()) for a, b in pairs])
+
+
+def test_readability_rounds_as_its_sql_does(spark):
+    # 0.39 * 5 / 2 + 11.8 * 48 / 5 - 15.59 is 98.66499999999999 as a double, a hundredfold 9866.5
+    row = spark.range(1).select(scores.reading_ease(F.lit(5), F.lit(2), F.lit(20), F.lit(48)).alias("r")).select("r.*").first()
+    assert row.flesch_kincaid == 98.67
