@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ngrams, normalize, sentences, tokenize
+from ..llm.common import stored
 from .lineage import cut
 
+#: Longs of parity bits of a token set.
+PARITIES = 4
+
 
 def first_seen_sentences(docs: DataFrame, least: int = 5) -> DataFrame:
     """(sentence, doc_id, pos): each sentence of ``least`` characters or more where it stands first."""
@@ -38,31 +42,44 @@ def distinct_ngrams(docs: DataFrame, n: int) -> DataFrame:
 
 
 def nearest_classes(docs: DataFrame, thresholds: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, cls) of the classes of equal token sets, and (cls, other0, other1, ...): for each threshold the
-    smallest class whose Jaccard with this one reaches it; a class is named by its smallest doc_id.
+    """Members (doc_id, no, cls) of the classes of equal token sets, and (no, other0, other1, ...): for each threshold the
+    smallest class whose Jaccard with this one reaches it; a class has a number and is named by its smallest doc_id.
 
     Classes meet by prefix filter: sets as similar share one of their rarest
     size - ceil(t * size) + 1 tokens. A meeting counts if sizes and the tokens left
     after its place still allow the overlap; the first token two alike sets share
-    always does, so no pair is lost. Pairs are reduced to the smallest partner on the
-    way, so a dense group of alike sets is never stored as pairs. Texts are read once."""
+    always does, so no pair is lost. A meeting also ends where the sets' parities (for
+    each of 256 hash values, whether an odd number of tokens has it) differ in more bits
+    than alike sets differ in tokens, so whole sets are joined to few pairs. Pairs are
+    reduced to the smallest partner on the way, so a dense group of alike sets is never
+    stored as pairs. Texts are read once; tokens are numbered by rarity, and what is used
+    more than once is stored as Parquet."""
     threshold = min(thresholds)
-    sets = cut(docs.select("doc_id", F.array_sort(F.array_distinct(tokenize(F.col("text")))).alias("items")).filter(F.size("items") > 0))
-    classes = cut(sets.groupBy("items").agg(F.min("doc_id").alias("cls")).withColumn("size", F.size("items")))
-    tokens = classes.select("cls", "size", F.explode("items").alias("item"))
-    rarity = tokens.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = tokens.join(rarity, "item").groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("ranked"))
+    tokens_of = docs.select("doc_id", F.array_sort(F.array_distinct(tokenize(F.col("text")))).alias("items")).filter(F.size("items") > 0)
+    # tokens hold no white space, so equal digests are equal sets
+    sets = stored(tokens_of.withColumn("digest", F.unhex(F.sha2(F.array_join("items", " "), 256))), "sets")
+    classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("cls")).withColumn("no", F.monotonically_increasing_id()), "classes")
+    first = sets.withColumnRenamed("doc_id", "cls").join(classes, ["digest", "cls"])
+    tokens = stored(first.select("no", "cls", F.explode("items").alias("item")), "tokens")
+    # a sorted table's row ids ascend with its order
+    rarity = stored(tokens.groupBy("item").agg(F.count("*").alias("df")).orderBy("df", "item").select("item", F.monotonically_increasing_id().alias("id")), "rarity")
+    ranked = tokens.join(rarity, "item").groupBy("no", "cls").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("size", F.size("ids"))
+    bit = lambda k: F.expr(f"aggregate(ids, 0L, (s, x) -> s ^ if(pmod(xxhash64(x), {PARITIES}) = {k}, shiftleft(1L, cast(pmod(shiftright(xxhash64(x), 8), 64) as int)), 0L))")
+    ranked = stored(ranked.select("*", *(bit(k).alias(f"parity{k}") for k in range(PARITIES))), "ranked")
+    parities = [f"parity{k}" for k in range(PARITIES)]
     length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    prefix = cut(ranked.select("cls", "size", F.posexplode(F.slice("ranked", 1, length)).alias("at", "p")).select("cls", "size", (F.col("size") - F.col("at")).alias("left"), "p.item"))
-    a, b = prefix.toDF("cls_a", "size_a", "left_a", "item"), prefix.toDF("cls_b", "size_b", "left_b", "item")
-    needed = (F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9
+    prefix = ranked.select("no", "size", *parities, F.posexplode(F.slice("ids", 1, length)).alias("at", "id")).select("no", "size", (F.col("size") - F.col("at")).alias("left"), "id", *parities)
+    a, b = (prefix.toDF(f"no_{x}", f"size_{x}", f"left_{x}", "id", *(f"{c}_{x}" for c in parities)) for x in "ab")
+    total = F.col("size_a") + F.col("size_b")
+    needed = total * (threshold / (1 + threshold)) - 1e-9
     sized = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
-    met = a.join(b, "item").filter((F.col("cls_a") < F.col("cls_b")) & sized & (F.least("left_a", "left_b") >= needed))
-    left, right = classes.select(F.col("cls").alias("cls_a"), F.col("items").alias("items_a")), classes.select(F.col("cls").alias("cls_b"), F.col("items").alias("items_b"))
-    scored = met.select("cls_a", "cls_b").distinct().join(left, "cls_a").join(right, "cls_b").select("cls_a", "cls_b", jaccard(F.col("items_a"), F.col("items_b")).alias("alike")).filter(F.col("alike") >= threshold)
-    sides = scored.select("alike", F.explode(F.array(F.struct(F.col("cls_a").alias("cls"), F.col("cls_b").alias("other")), F.struct(F.col("cls_b").alias("cls"), F.col("cls_a").alias("other")))).alias("s")).select("alike", "s.*")
-    nearest = sides.groupBy("cls").agg(*(F.min(F.when(F.col("alike") >= t, F.col("other"))).alias(f"other{k}") for k, t in enumerate(thresholds)))
-    return sets.join(classes.select("items", "cls"), "items").select("doc_id", "cls"), nearest
+    unlike = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parities), F.lit(0))
+    met = a.join(b, "id").filter((F.col("no_a") < F.col("no_b")) & sized & (F.least("left_a", "left_b") >= needed) & (unlike <= total - 2 * needed))
+    left, right = (ranked.select(F.col("no").alias(f"no_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("ids").alias(f"ids_{x}")) for x in "ab")
+    scored = met.select("no_a", "no_b").distinct().join(left, "no_a").join(right, "no_b").select("no_a", "no_b", "cls_a", "cls_b", jaccard(F.col("ids_a"), F.col("ids_b")).alias("alike")).filter(F.col("alike") >= threshold)
+    sides = scored.select("alike", F.explode(F.array(F.struct(F.col("no_a").alias("no"), F.col("cls_b").alias("other")), F.struct(F.col("no_b").alias("no"), F.col("cls_a").alias("other")))).alias("s")).select("alike", "s.*")
+    nearest = sides.groupBy("no").agg(*(F.min(F.when(F.col("alike") >= t, F.col("other"))).alias(f"other{k}") for k, t in enumerate(thresholds)))
+    return sets.select("doc_id", "digest").join(classes, "digest").select("doc_id", "no", "cls"), nearest
 
 
 def near_duplicate_rate(docs: DataFrame, thresholds: tuple[float, ...] = (0.8, 0.7)) -> DataFrame:
@@ -72,7 +89,7 @@ def near_duplicate_rate(docs: DataFrame, thresholds: tuple[float, ...] = (0.8, 0
     members, nearest = nearest_classes(docs, thresholds)
     # a copy follows its class's first; another class counts if its first document is earlier than this one
     hit = lambda k: F.coalesce((F.col("doc_id") > F.col("cls")) | (F.col(f"other{k}") < F.col("doc_id")), F.lit(False))
-    counts = members.join(nearest, "cls", "left").agg(*(F.count_if(hit(k)).alias(f"n{k}") for k in range(len(thresholds))))
+    counts = members.join(nearest, "no", "left").agg(*(F.count_if(hit(k)).alias(f"n{k}") for k in range(len(thresholds))))
     rows = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"n{k}").alias("n_dup")) for k, t in enumerate(thresholds))))
     return counts.join(F.broadcast(total)).select("n_docs", rows.alias("r")).select("r.threshold", "r.n_dup", "n_docs", F.round(F.col("r.n_dup") / F.greatest("n_docs", F.lit(1)), 8).alias("rate"))
 
