@@ -33,7 +33,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +62,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 #: Where a tokenizer that splits signs from letters and digits cuts in any case.
-_CUT = re.compile(rb"([a-z0-9])(?=[!-/:-@\[-`{-~])")
+_CUT = re.compile(rb"([!-/:-@\[-`{-~])(?<=[a-z0-9].)")
 
 
 def pieces(text: bytes) -> list[bytes]:
@@ -71,7 +71,15 @@ def pieces(text: bytes) -> list[bytes]:
     The tokenizer lowers case and cuts between a letter or digit and a sign, so ASCII
     is lowered and cut here and fewer words are distinct. Special tokens are matched
     before that: a text that may hold one is only cut at white space."""
-    return text.split() if b"<|" in text else _CUT.sub(rb"\1 ", text.lower()).split()
+    return text.split() if b"<|" in text else _CUT.sub(rb" \1", text.lower()).split()
+
+
+class _Numbers(dict):
+    """Words' numbers in order of their first look-up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 class Tokens:
@@ -85,39 +93,44 @@ class Tokens:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.number) > MEMORY:
-            self._forget()
-        new = list(words.difference(self.number))
+    def _learn(self, known: int) -> None:
+        """Encode the words numbered from ``known``."""
+        new = list(islice(reversed(self.number), len(self.number) - known))
         if not new:
             return
-        found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        n = len(self.number)
-        flat = np.fromiter(chain.from_iterable(found), np.uint32)
-        stops = self.starts[n] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        while len(self.starts) <= n + len(new):
+        new.reverse()
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        stops = self.starts[known] + np.cumsum(sizes)
+        while len(self.starts) <= known + len(new):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         while len(self.ids) < stops[-1]:
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[self.starts[n] : stops[-1]] = flat
-        self.starts[n + 1 : n + 1 + len(new)] = stops
-        self.number.update(zip(new, range(n, n + len(new))))
+        self.ids[self.starts[known] : stops[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.starts[known + 1 : known + 1 + len(new)] = stops
 
     def encode(self, texts: list[bytes | None], end: int) -> list[np.ndarray]:
         """Ids of each text, with the end id."""
-        split = [pieces(t or b"") for t in texts]
-        self._learn(set(chain.from_iterable(split)))
-        out, look = [], self.number.__getitem__
-        for words in split:
-            w = np.fromiter(map(look, words), np.int64, len(words))
+        if len(self.number) > MEMORY:
+            self._forget()
+        known, look = len(self.number), self.number.__getitem__
+        try:
+            split = [pieces(t or b"") for t in texts]
+            numbers = [np.fromiter(map(look, words), np.int64, len(words)) for words in split]
+            self._learn(known)
+        except BaseException:  # no word may keep a number without ids
+            self._forget()
+            raise
+        out = []
+        for w in numbers:
             first = self.starts[w]
             sizes = self.starts[w + 1] - first
             upto = np.cumsum(sizes)
-            total = int(upto[-1]) if len(words) else 0
+            total = int(upto[-1]) if len(w) else 0
             ids = np.empty(total + 1, np.uint32)
             ids[:total] = self.ids[np.arange(total) + np.repeat(first - upto + sizes, sizes)]
             ids[total] = end

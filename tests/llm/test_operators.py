@@ -272,3 +272,15 @@ def test_pipeline_runs_and_keeps_clean_documents(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+def test_a_word_that_fails_leaves_no_number_without_ids():
+    from paralogic.llm import token_output
+
+    tokens = token_output.Tokens(token_output.tokenizer_path())
+    texts = [b"A-b c.d don't <x>..y", b"a\x0b\n(b)9! \xc3\xa9.z", None]
+    plain = [[*tokens.tokenizer.encode((t or b"").decode(), add_special_tokens=False).ids, 1] for t in texts]
+    with pytest.raises(TypeError):
+        tokens.encode([b"new words", 7], 1)
+    assert [x.tolist() for x in tokens.encode([b"new words", *texts], 1)][1:] == plain
+    assert tokens.encode([b"new words"], 1)[0].tolist() == [*tokens.tokenizer.encode("new words", add_special_tokens=False).ids, 1]
