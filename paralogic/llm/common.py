@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +19,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: A side of at most so many rows is broadcast; beyond it the join is salted.
 BROADCAST_ROWS = 20_000
 
+#: Texts sent to a Python worker at once by ``small_batches``.
+TEXT_ROWS = 500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, so any store Spark reaches will do."""
@@ -52,6 +57,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """What is run while this is open sends so many rows to Python at once, at most.
+
+    Spark's 10,000 rows of whole texts are tens of MB in buffers beside the heap and again in
+    the worker, for each task. Only for what is run inside: a lazy table is sent as its reader says."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``stored``; only for tables that nothing reads any more."""
     spark = df.sparkSession

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, free_name, stored, table, with_place
+from .common import cut, discard, free_name, small_batches, stored, table, with_place
 from .shingle_links import frequent_shingles, linked_rows, prefixes
 
 BITS = 64
@@ -358,11 +358,14 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     more than ``STAGE_RADIUS`` bits follow by exact prefixes (``shingle_links``).
     Rows are told apart by their place in the stored input, which stays the same
     after an executor is lost; of repeated rows one stays. No copy of the texts is
-    written: only the numbers of kept rows meet them again, in one join."""
+    written: only the numbers of kept rows meet them again, in one join. Texts go to
+    Python in small batches, since buffers beside the heap count as an executor's memory too."""
     name = free_name(docs, "_row")
     placed = with_place(docs, name)
     texts = placed.select("doc_id", F.col(name).alias("_row"), "text")
-    rows = stored(prefixes(texts, frequent_shingles(texts)), "prefixes")
+    frequent = frequent_shingles(texts)
+    with small_batches(spark):
+        rows = stored(prefixes(texts, frequent), "prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = cut(rows.groupBy("digest").agg(first).select("first", F.col("first.row").alias("row")))
     once = stored(rows.join(distinct.select("row"), "row", "left_semi").select("row", "fp", "size", "known", "keys"), "distinct")
