@@ -3,11 +3,13 @@ intermediate tables and joins that choose their strategy by a checked size."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ BROADCAST_ROWS = 20_000
 #: Texts sent to a Python worker at once by ``small_batches``.
 TEXT_ROWS = 500
 
+#: Bytes of rows sent to a Python worker at once by the pipeline's stages, and the setting that says so.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one input table through Spark, so any store Spark reaches will do."""
@@ -72,6 +78,35 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def bound_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """From now on the session sends so many bytes to Python at once, at most; a lower bound stays.
+
+    For stages that return a lazy table, whose batches are cut when its reader runs it. Without
+    this a batch of texts is a whole partition: its buffers lie beside the heap, on both sides."""
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING))
+    if not 0 < now <= most:
+        spark.conf.set(BATCH_SETTING, str(most))
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed and its allocators still hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` that gives memory back before and after its task: workers are kept for later tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``stored``; only for tables that nothing reads any more."""
     spark = df.sparkSession

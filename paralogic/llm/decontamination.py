@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table, tidy
 
 HALF = 64
 SHARD = 20_000
@@ -372,7 +372,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 
@@ -383,4 +383,5 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a test item go; all columns stay."""
+    bound_batches(spark)
     return without_leaks(docs, table(spark, sf_dir, "benchmark"))

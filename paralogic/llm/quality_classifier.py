@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import bound_batches, cut, give_back, table, tidy
 
 PASSAGE = 64
 MAX_TRAIN = 2000
@@ -219,7 +219,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
             found = [encoder.encode([text.as_py()])[0].astype(np.float16) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "y", "n", "x"])
 
-    rows = cut(texts.mapInArrow(run, "doc_id long, y int, n long, x binary"))
+    rows = cut(texts.mapInArrow(tidy(run), "doc_id long, y int, n long, x binary"))
     in_turn = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over 2 * max_train rows
     taken = rows.select("doc_id", F.sum("n").over(in_turn).alias("upto")).filter(F.col("upto") <= max_passages)
     found = rows.join(F.broadcast(taken), "doc_id").select("doc_id", "y", "x").collect()
@@ -243,7 +243,6 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", min_sco
     at = columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what a worker's earlier tasks have freed, the pool still holds
         encoder = Encoder()
         for batch in batches:
             texts = batch.column(at).cast(pa.binary())
@@ -257,7 +256,7 @@ def scored(docs: DataFrame, model: Model | None, text_col: str = "text", min_sco
                 yield batch.filter(pa.array(values >= min_score))
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]) if min_score is None else docs.schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,4 +269,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the classifier rejects go; all columns stay."""
-    return scored(docs, fit(docs, table(spark, sf_dir, "labels")), min_score=THRESHOLD)
+    bound_batches(spark)
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    give_back()
+    return scored(docs, model, min_score=THRESHOLD)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, discard, free_name, small_batches, stored, table, with_place
+from .common import bound_batches, cut, discard, free_name, small_batches, stored, table, with_place
 from .shingle_links import frequent_shingles, linked_rows, prefixes
 
 BITS = 64
@@ -360,6 +360,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     after an executor is lost; of repeated rows one stays. No copy of the texts is
     written: only the numbers of kept rows meet them again, in one join. Texts go to
     Python in small batches, since buffers beside the heap count as an executor's memory too."""
+    bound_batches(spark)
     name = free_name(docs, "_row")
     placed = with_place(docs, name)
     texts = placed.select("doc_id", F.col(name).alias("_row"), "text")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import bound_batches, shared_dir, table, tidy
 
 SEQUENCE = 2048
 BATCH = 64
@@ -148,6 +148,11 @@ def tokens_of(path: str) -> Tokens:
     return _KNOWN[path]
 
 
+def forget() -> None:
+    """Drop this worker's tokenizers and their words; the files are written and nothing looks words up again."""
+    _KNOWN.clear()
+
+
 def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes of text, a row at least."""
     at = held = 0
@@ -301,7 +306,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, seq
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([f"{folder}/shard-{shard:06d}"]), pa.array([docs_here]), pa.array([writer.total])], names=["shard", "path", "n_docs", "n_tokens"])
 
     manifest = f"{folder}/manifest"
-    ordered.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long").write.parquet(manifest)
+    ordered.mapInArrow(tidy(run), "shard long, path string, n_docs long, n_tokens long").write.parquet(manifest)
     return spark.read.schema("shard long, path string, n_docs long, n_tokens long").parquet(manifest)
 
 
@@ -333,6 +338,7 @@ def read_documents(manifest: DataFrame, value=lambda ids: ids.astype("<u4").toby
     arrow = {"binary": pa.binary(), "long": pa.int64()}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 stream = Stream(f"{path}.seq")
@@ -342,7 +348,7 @@ def read_documents(manifest: DataFrame, value=lambda ids: ids.astype("<u4").toby
                         values = [value(stream.take(n)) for n in part.column(2).to_pylist()]
                         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(part.column(1).to_numpy() + base), part.column(2), pa.array(values, arrow)], names=["doc_id", "start", "n_tokens", "value"])
 
-    return spread.mapInArrow(run, f"doc_id long, start long, n_tokens long, value {kind}")
+    return spread.mapInArrow(tidy(run), f"doc_id long, start long, n_tokens long, value {kind}")
 
 
 def ids_crc32(ids: np.ndarray) -> int:
@@ -364,4 +370,5 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_corpus(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents as token files; the digest rows read back from them."""
+    bound_batches(spark)
     return encode_and_read(docs)
