@@ -4,6 +4,7 @@ intermediate tables and joins that choose their strategy by a checked size."""
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -117,6 +118,14 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_spent(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files and checkpoints that no table refers to any more.
+
+    It learns of them from the garbage collection of the driver, which may be long in coming."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or it with underscores where ``df`` has a column of that name."""
     taken = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, cut, discard, free_name, small_batches, stored, table, with_place
+from .common import bound_batches, cut, discard, free_name, release_spent, small_batches, stored, table, with_place
 from .shingle_links import frequent_shingles, linked_rows, prefixes
 
 BITS = 64
@@ -371,6 +371,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     distinct = cut(rows.groupBy("digest").agg(first).select("first", F.col("first.row").alias("row")))
     once = stored(rows.join(distinct.select("row"), "row", "left_semi").select("row", "fp", "size", "known", "keys"), "distinct")
     discard(rows)
+    del rows
+    release_spent(spark)
     roots = linked_rows(once, texts, near_rows(once.select("row", "fp")), components)
     named = distinct.join(roots, "row", "left").groupBy(F.coalesce("root", "row")).agg(F.min("first").alias("first"))
     kept = cut(named.select(F.col("first.row").alias(name)))
