@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,11 +120,31 @@ def discard(df: DataFrame) -> None:
 
 
 def release_spent(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files and checkpoints that no table refers to any more.
+    """Let Spark delete the shuffle files and checkpoints that no table refers to any more, and give the driver's memory back.
 
-    It learns of them from the garbage collection of the driver, which may be long in coming."""
+    It learns of them from the garbage collection of the driver, which may be long in coming. That
+    bounds the heap; what the compiler and the buffers beside it have freed is returned by ``trim_jvm``."""
     gc.collect()
     spark._jvm.System.gc()
+    trim_jvm(spark)
+    give_back()
+
+
+def trim_jvm(spark: SparkSession) -> bool:
+    """Return to the system what the driver's JVM has freed beside its heap; false where the JVM has no such command."""
+    jvm, array = spark._jvm, spark._sc._gateway.new_array
+    try:
+        name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        # by reflection on the interface: the server's own class is not open to py4j
+        kind = jvm.java.lang.Class.forName("javax.management.MBeanServer")
+        call = next(m for m in kind.getMethods() if m.getName() == "invoke")
+        given = array(jvm.Object, 4)
+        given[0], given[1], given[2], given[3] = name, "systemTrimNativeHeap", array(jvm.Object, 0), array(jvm.String, 0)
+        call.invoke(server, given)
+    except (Py4JError, StopIteration):  # not a HotSpot of 17.0.9 or later on glibc
+        return False
+    return True
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

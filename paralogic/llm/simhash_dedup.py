@@ -361,10 +361,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     written: only the numbers of kept rows meet them again, in one join. Texts go to
     Python in small batches, since buffers beside the heap count as an executor's memory too."""
     bound_batches(spark)
+    release_spent(spark)  # of the stage before, which trains in the driver
     name = free_name(docs, "_row")
     placed = with_place(docs, name)
     texts = placed.select("doc_id", F.col(name).alias("_row"), "text")
     frequent = frequent_shingles(texts)
+    release_spent(spark)
     with small_batches(spark):
         rows = stored(prefixes(texts, frequent), "prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
@@ -373,7 +375,10 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     discard(rows)
     del rows
     release_spent(spark)
-    roots = linked_rows(once, texts, near_rows(once.select("row", "fp")), components)
+    near = near_rows(once.select("row", "fp"))
+    release_spent(spark)
+    roots = linked_rows(once, texts, near, components)
+    release_spent(spark)
     named = distinct.join(roots, "row", "left").groupBy(F.coalesce("root", "row")).agg(F.min("first").alias("first"))
     kept = cut(named.select(F.col("first.row").alias(name)))
     discard(once)

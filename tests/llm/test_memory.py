@@ -82,3 +82,14 @@ def test_token_files_are_the_same_in_small_batches(spark):
         assert sorted(map(tuple, token_output.encode_and_read(docs).collect())) == expected
     finally:
         spark.conf.set(common.BATCH_SETTING, before)
+
+
+def test_near_duplicate_stage_gives_the_drivers_memory_back(spark, monkeypatch):
+    from paralogic.llm import simhash_dedup
+
+    told = []
+    trim = common.trim_jvm
+    monkeypatch.setattr(common, "trim_jvm", lambda s: told.append(trim(s)))
+    docs = spark.createDataFrame([(k, f"one two three four five six seven {k // 2}") for k in range(8)], "doc_id long, text string")
+    assert simhash_dedup.keep_one(spark, docs, "").count() == 4
+    assert len(told) >= 6 and all(told)
