@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import count
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ngrams, normalize, sentences, tokenize
-from ..llm.common import stored
+from ..llm.common import discard, release_spent, small_batches, stored
 from .lineage import cut
 
 #: Longs of parity bits of a token set.
-PARITIES = 4
+PARITIES = 16
+#: Tokens that are numbered by rarity at most; rarer ones keep their hash.
+LISTED = 500_000
+#: Shares of the tokens that are shuffled one after the other.
+PASSES = 8
 
 
 def first_seen_sentences(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -41,6 +52,109 @@ def distinct_ngrams(docs: DataFrame, n: int) -> DataFrame:
     return grams.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("c"), F.lit(0)).alias("total")).withColumn("ratio", F.round(F.col("distinct") / F.greatest("total", F.lit(1)), 8))
 
 
+def listed_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, their ranks by rarity, seed) of the most frequent tokens, ``LISTED`` at most.
+
+    A token's hash has 63 bits; the seed is the first one under which a second, independent
+    hash finds no two tokens of one hash, so equal hashes are equal tokens."""
+    for seed in count():
+        # an inner explode, or a filter on sizes, would make Spark cut every text into tokens twice
+        items = docs.select(F.explode_outer(F.array_distinct(tokenize(F.col("text")))).alias("item")).filter("item is not null").select(token_hash(F.col("item"), seed).alias("h"), F.xxhash64(F.lit("second"), "item").alias("other"))
+        counted = items.groupBy("h").agg(F.count("*").alias("df"), F.min("other").alias("x"), F.max("other").alias("y"))
+        often = stored(counted.filter("df > 1").select("h", "df", (F.col("x") != F.col("y")).alias("clash")), "often")  # two tokens of one hash count as two
+        if often.filter("clash").isEmpty():
+            break
+        discard(often)
+    least, n = 2, 0
+    for r in often.groupBy(F.least("df", F.lit(100_000)).alias("df")).count().orderBy(F.desc("df")).collect():  # 100,000 rows at most
+        n += r["count"]
+        if n > LISTED:
+            least = r["df"] + 1
+            break
+    rows = often.filter(F.col("df") >= least).select("h", "df").toArrow()
+    discard(often)
+    hashes, df = (rows.column(k).to_numpy().astype(np.int64) for k in range(2))
+    ranks = np.empty(len(hashes), np.int64)
+    ranks[np.lexsort((hashes, df))] = np.arange(len(hashes))
+    by_hash = np.argsort(hashes)
+    return hashes[by_hash], ranks[by_hash], seed
+
+
+def token_hash(token: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), token), 1)
+
+
+def numbered_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, size, ids, parity0, ...) of the token sets that are not empty: ids ascend from rare to frequent.
+
+    A listed token's id is its rank, another one's is its hash less 2 ** 63. The list bears on
+    speed only: any one order of the tokens loses no pair."""
+    hashes, ranks, seed = listed_tokens(docs)
+    items = docs.select("doc_id", F.array_sort(F.array_distinct(tokenize(F.col("text")))).alias("items"))
+    # tokens hold no white space, so equal digests are equal sets
+    hashed = items.select("doc_id", F.unhex(F.sha2(F.array_join("items", " "), 256)).alias("digest"), F.transform("items", lambda t: token_hash(t, seed)).alias("h"))
+    names = [f"parity{k}" for k in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(2)), 0))
+            column = batch.column(2)
+            h, size = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(len(size)), size)
+            ids = h + np.iinfo(np.int64).min
+            if len(hashes):
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                ids = np.where(hashes[at] == h, ranks[at], ids)
+            ids = ids[np.lexsort((ids, owner))]
+            bits = np.bincount(owner * 64 * PARITIES + h % (64 * PARITIES), minlength=len(size) * 64 * PARITIES).astype(np.uint8) & 1
+            parity = np.packbits(bits, bitorder="little").view("<i8").reshape(len(size), PARITIES)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), lists, *(pa.array(parity[:, k]) for k in range(PARITIES))], names=["doc_id", "digest", "size", "ids", *names])
+
+    kind = dict(items.dtypes)["doc_id"]
+    with small_batches(docs.sparkSession):
+        return stored(hashed.mapInArrow(run, f"doc_id {kind}, digest binary, size long, ids array<long>" + "".join(f", {c} long" for c in names)), "sets")
+
+
+def met_pairs(entries: DataFrame, threshold: float) -> DataFrame:
+    """(no_a, no_b), no_a < no_b: pairs of a token whose sizes, places and parities allow the threshold.
+
+    ``entries``: id, no, size, left, parity0, ... A token's members stream through a task in order of size;
+    all members are compared at once with those that stand 1, 2, ... places after them, until sizes end it."""
+
+    def compare(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, d, parts, n = np.arange(m.shape[1]), 0, [], 0
+        while len(at):
+            d += 1
+            at = at[at + d < m.shape[1]]
+            at = at[(m[0, at] == m[0, at + d]) & (m[2, at] >= m[2, at + d] * threshold - 1e-9)]
+            to = at + d
+            total = m[2, at] + m[2, to]
+            needed = total * (threshold / (1 + threshold)) - 1e-9
+            fits = (np.minimum(m[3, at], m[3, to]) >= needed) & (m[1, at] != m[1, to])
+            x, y, most = at[fits], to[fits], (total - 2 * needed)[fits]
+            fits = sum(np.bitwise_count((m[k, x] ^ m[k, y]).view(np.uint64)).astype(np.int64) for k in range(4, 4 + PARITIES)) <= most
+            parts.append(np.stack([m[1, x[fits]], m[1, y[fits]]]))
+            n += parts[-1].shape[1]
+            if n > 200_000 or not len(at):
+                both = np.sort(np.concatenate(parts, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["no_a", "no_b"])
+                parts, n = [], 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((4 + PARITIES, 0), np.int64)
+        for batch in batches:
+            held = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], axis=1)
+            last = int(np.searchsorted(held[0], held[0, -1])) if held.shape[1] else 0
+            if last:
+                yield from compare(held[:, :last])
+                held = held[:, last:]
+        yield from compare(held)
+
+    dealt = entries.repartition("id").sortWithinPartitions("id", "size")
+    return dealt.mapInArrow(run, "no_a long, no_b long").distinct()
+
+
 def nearest_classes(docs: DataFrame, thresholds: tuple[float, ...]) -> tuple[DataFrame, DataFrame]:
     """Members (doc_id, no, cls) of the classes of equal token sets, and (no, other0, other1, ...): for each threshold the
     smallest class whose Jaccard with this one reaches it; a class has a number and is named by its smallest doc_id.
@@ -49,37 +163,44 @@ def nearest_classes(docs: DataFrame, thresholds: tuple[float, ...]) -> tuple[Dat
     size - ceil(t * size) + 1 tokens. A meeting counts if sizes and the tokens left
     after its place still allow the overlap; the first token two alike sets share
     always does, so no pair is lost. A meeting also ends where the sets' parities (for
-    each of 256 hash values, whether an odd number of tokens has it) differ in more bits
-    than alike sets differ in tokens, so whole sets are joined to few pairs. Pairs are
-    reduced to the smallest partner on the way, so a dense group of alike sets is never
-    stored as pairs. Texts are read once; tokens are numbered by rarity, and what is used
-    more than once is stored as Parquet."""
-    threshold = min(thresholds)
-    tokens_of = docs.select("doc_id", F.array_sort(F.array_distinct(tokenize(F.col("text")))).alias("items")).filter(F.size("items") > 0)
-    # tokens hold no white space, so equal digests are equal sets
-    sets = stored(tokens_of.withColumn("digest", F.unhex(F.sha2(F.array_join("items", " "), 256))), "sets")
+    each of 1024 hash values, whether an odd number of tokens has it) differ in more bits
+    than alike sets differ in tokens, so whole sets are joined to few pairs. Tokens are
+    numbers before anything is shuffled, and meet in ``PASSES`` shares, each shuffled when
+    the one before is deleted: disk holds the numbered sets and a share."""
+    spark, threshold = docs.sparkSession, min(thresholds)
+    sets = numbered_sets(docs)
+    release_spent(spark)
     classes = stored(sets.groupBy("digest").agg(F.min("doc_id").alias("cls")).withColumn("no", F.monotonically_increasing_id()), "classes")
-    first = sets.withColumnRenamed("doc_id", "cls").join(classes, ["digest", "cls"])
-    tokens = stored(first.select("no", "cls", F.explode("items").alias("item")), "tokens")
-    # a sorted table's row ids ascend with its order
-    rarity = stored(tokens.groupBy("item").agg(F.count("*").alias("df")).orderBy("df", "item").select("item", F.monotonically_increasing_id().alias("id")), "rarity")
-    ranked = tokens.join(rarity, "item").groupBy("no", "cls").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("size", F.size("ids"))
-    bit = lambda k: F.expr(f"aggregate(ids, 0L, (s, x) -> s ^ if(pmod(xxhash64(x), {PARITIES}) = {k}, shiftleft(1L, cast(pmod(shiftright(xxhash64(x), 8), 64) as int)), 0L))")
-    ranked = stored(ranked.select("*", *(bit(k).alias(f"parity{k}") for k in range(PARITIES))), "ranked")
+    members = stored(sets.select("doc_id", "digest").join(classes, "digest").select("doc_id", "no", "cls"), "members")
     parities = [f"parity{k}" for k in range(PARITIES)]
-    length = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1
-    prefix = ranked.select("no", "size", *parities, F.posexplode(F.slice("ids", 1, length)).alias("at", "id")).select("no", "size", (F.col("size") - F.col("at")).alias("left"), "id", *parities)
-    a, b = (prefix.toDF(f"no_{x}", f"size_{x}", f"left_{x}", "id", *(f"{c}_{x}" for c in parities)) for x in "ab")
-    total = F.col("size_a") + F.col("size_b")
-    needed = total * (threshold / (1 + threshold)) - 1e-9
-    sized = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * threshold - 1e-9
-    unlike = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parities), F.lit(0))
-    met = a.join(b, "id").filter((F.col("no_a") < F.col("no_b")) & sized & (F.least("left_a", "left_b") >= needed) & (unlike <= total - 2 * needed))
+    # a row repeated as it is stands here as often; its pairs are the same
+    ranked = stored(sets.withColumnRenamed("doc_id", "cls").join(classes, ["digest", "cls"]).select("no", "cls", "size", "ids", *parities), "ranked")
+    discard(sets)
+    discard(classes)
+    release_spent(spark)
+    length = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
+    prefix = ranked.select("no", "size", *parities, F.posexplode(F.slice("ids", F.lit(1), length)).alias("at", "id")).select("id", "no", "size", (F.col("size") - F.col("at")).alias("left"), *parities)
+    shares = []
+    for k in range(PASSES):
+        shares.append(stored(met_pairs(prefix.filter(F.pmod(F.xxhash64("id"), F.lit(PASSES)) == k), threshold), "pairs"))
+        release_spent(spark)
+    pairs = stored(reduce(DataFrame.union, shares).distinct(), "met")
+    for share in shares:
+        discard(share)
+    release_spent(spark)
     left, right = (ranked.select(F.col("no").alias(f"no_{x}"), F.col("cls").alias(f"cls_{x}"), F.col("ids").alias(f"ids_{x}")) for x in "ab")
-    scored = met.select("no_a", "no_b").distinct().join(left, "no_a").join(right, "no_b").select("no_a", "no_b", "cls_a", "cls_b", jaccard(F.col("ids_a"), F.col("ids_b")).alias("alike")).filter(F.col("alike") >= threshold)
-    sides = scored.select("alike", F.explode(F.array(F.struct(F.col("no_a").alias("no"), F.col("cls_b").alias("other")), F.struct(F.col("no_b").alias("no"), F.col("cls_a").alias("other")))).alias("s")).select("alike", "s.*")
+    found, runs = [], 1 + pairs.count() // max(1, ranked.count())  # a run shuffles about as many sets as there are
+    for k in range(runs):
+        share = pairs.filter(F.pmod(F.xxhash64("no_a"), F.lit(runs)) == k)
+        scored = share.join(left, "no_a").join(right, "no_b").select("no_a", "no_b", "cls_a", "cls_b", F.size(F.array_intersect("ids_a", "ids_b")).alias("both"), (F.size("ids_a") + F.size("ids_b")).alias("sum"))
+        scored = scored.select("no_a", "no_b", "cls_a", "cls_b", (F.col("both") / (F.col("sum") - F.col("both"))).alias("alike")).filter(F.col("alike") >= threshold)
+        found.append(stored(scored, "alike"))
+        release_spent(spark)
+    discard(ranked)
+    discard(pairs)
+    sides = reduce(DataFrame.union, found).select("alike", F.explode(F.array(F.struct(F.col("no_a").alias("no"), F.col("cls_b").alias("other")), F.struct(F.col("no_b").alias("no"), F.col("cls_a").alias("other")))).alias("s")).select("alike", "s.*")
     nearest = sides.groupBy("no").agg(*(F.min(F.when(F.col("alike") >= t, F.col("other"))).alias(f"other{k}") for k, t in enumerate(thresholds)))
-    return sets.select("doc_id", "digest").join(classes, "digest").select("doc_id", "no", "cls"), nearest
+    return members, nearest
 
 
 def near_duplicate_rate(docs: DataFrame, thresholds: tuple[float, ...] = (0.8, 0.7)) -> DataFrame:
